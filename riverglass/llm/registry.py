@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, media_store, url_filter
+from . import bpe, line_dedup, media_store, token_counts, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op4_media_columns": media_store.op4_media_columns,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
 }
 ORACLE = {
     "op1_line_dedup": line_dedup.OP1_SQL,
