@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, media_store, token_counts, url_filter
+from . import bpe, line_dedup, media_store, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op4_media_columns": media_store.op4_media_columns,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_url_filter": url_filter.op7_url_filter,
