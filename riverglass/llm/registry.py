@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, media_store, token_counts, toxicity, url_filter
+from . import bpe, line_dedup, media_store, ngram_join, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,9 +10,11 @@ QUERIES = {
     "op4_media_columns": media_store.op4_media_columns,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_bpe_round_trip": bpe.op9_bpe_round_trip,
 }
 ORACLE = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
+    "op8_ngram_join": ngram_join.OP8_SQL,
 }
