@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, media_store, ngram_join, token_counts, toxicity, url_filter
+from . import bpe, decontamination, line_dedup, media_store, ngram_join, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op4_media_columns": media_store.op4_media_columns,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_url_filter": url_filter.op7_url_filter,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 ORACLE = {
     "op1_line_dedup": line_dedup.OP1_SQL,
+    "op3_decontamination": decontamination.OP3_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
     "op8_ngram_join": ngram_join.OP8_SQL,
 }
