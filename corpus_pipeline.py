@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riverglass.llm import line_dedup
+from riverglass.llm import bpe, decontamination, line_dedup, ngram_join, toxicity
 from riverglass.llm.common import Saved
 
 STAGES = [
+    ("toxicity", toxicity.stage),
     ("line_dedup", line_dedup.stage),
+    ("ngram_join", ngram_join.stage),
+    ("decontamination", decontamination.stage),
+    ("bpe_round_trip", bpe.stage),
 ]
 
 #: SQL can express neither a trained classifier nor a tokenizer.
@@ -16,6 +20,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that all stages keep, with n_tokens and ids_sha256 of their texts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES:
         docs = Saved(function(spark, docs, sf_dir), f"stage-{name}").df
