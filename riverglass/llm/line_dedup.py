@@ -272,9 +272,10 @@ def _spread(lines: DataFrame, shards: DataFrame, n_shards: int, group_probes: in
     its probes dealt by document.
     """
     probes = lines.withColumn("shard", F.pmod(F.xxhash64("h1"), F.lit(n_shards)).cast("int"))
-    salts = Saved(probes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / group_probes).cast("int").alias("salts")), "line-salts").df
-    left = probes.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
-    right = shards.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    salted = Saved(probes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / group_probes).cast("int").alias("salts")), "line-salts")
+    salts = lambda: lines.sparkSession.read.schema(salted.df.schema).parquet(salted.path)  # noqa: E731  read anew for each side
+    left = probes.join(salts(), "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+    right = shards.join(salts(), "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
 
     def probe(probes: pa.Table, shard: pa.Table) -> pa.Table:
         h1, h2 = (probes.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
