@@ -112,10 +112,11 @@ def fit(rows: list[tuple[int, list[int], list[list[int]]]], chosen: dict[str, in
     w, rate = np.zeros(d), float(y.mean())
     b = float(np.log(rate / (1 - rate)))
     seen = np.bincount(col, minlength=d) / n
-    step = 1.0 / (0.25 * np.maximum(seen, 1e-3) + 2 * l2 + 1e-3)  # by coordinate
-    step *= 4 / max(4.0, np.sqrt(lens.mean() + 1))
+    bend = 0.25 * np.maximum(seen, 1e-3) * max(4.0, np.sqrt(lens.mean() + 1)) / 4 + 2 * l2 + 1e-3  # of the loss, by coordinate
     if len(pairs):
-        step /= 1 + 2 * swap * np.bincount(p_col, minlength=d) / len(pairs) * step
+        width = np.bincount(p_at, minlength=len(pairs))
+        bend += 2 * swap * np.bincount(p_col, weights=width[p_at], minlength=d) / len(pairs)
+    step = 1.0 / bend
     look, speed = w.copy(), 1.0
     for _ in range(rounds):
         z = b + np.bincount(at, weights=look[col], minlength=n)
