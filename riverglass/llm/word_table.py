@@ -8,8 +8,9 @@ import re
 import unicodedata
 
 #: Characters whose Unicode properties all libraries agree on: Latin, its marks and common punctuation.
-_PLAIN = [*map(chr, range(0x300)), *map(chr, range(0x2010, 0x2028)), "€"]
-_NOT_PLAIN = re.compile("[^" + "".join(map(re.escape, (f"{a}" for a in ""))) + "\x00-˿‐-‧€]")
+#: (U+0130 isn't among them: lower-cased it is two characters.)
+_PLAIN = [*map(chr, range(0x130)), *map(chr, range(0x131, 0x300)), *map(chr, range(0x2010, 0x2028)), "€"]
+_NOT_PLAIN = re.compile("[^\x00-\u012f\u0131-\u02ff\u2010-\u2027\u20ac]")
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0"
 
 
