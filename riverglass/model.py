@@ -121,7 +121,7 @@ def typed(kind: str, name: str, value: Any, error: type[Exception] = FilterError
     except OverflowError:
         good = False
     if not good:
-        raise error(f"{name}: {value!r} is no {kind} value")
+        raise error(f"{name}: a value of type {type(value).__name__} that is no {kind} value")
     return float(value) if kind == "float" else value
 
 
