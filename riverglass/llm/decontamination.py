@@ -26,17 +26,25 @@ _APART = "[^\\p{L}\\p{N}_]+"
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits; a point, comma, colon or slash inside a number stays part of it."""
+    """Runs of letters and digits; a point, comma, colon or slash inside a number stays part of it.
+
+    A capital that starts a sentence gets a mark before it, as it says nothing of names.
+    """
     joined = F.regexp_replace(F.coalesce(text, F.lit("")), "(?<=[0-9])[.,:/](?=[0-9])", "_")
-    return F.filter(F.split(joined, _APART), lambda x: x != "")
+    marked = F.regexp_replace(joined, "(^|[.!?:\n])[^\\p{L}\\p{N}]*(?=\\p{Lu})", "$1 _")
+    return F.filter(F.split(marked, _APART), lambda x: x != "")
 
 
 def template(window: Column) -> Column:
-    """The window's tokens, a space between them, with typed placeholders for numbers, units after numbers, and capitalised names."""
+    """The window's tokens in lower case, a space between them, with typed placeholders for numbers, units after numbers, and names.
+
+    A name is a word with one capital, its first, that doesn't start a sentence; so texts all in capitals keep their words.
+    """
     text = F.concat_ws(" ", window)
     text = F.regexp_replace(text, "(?<![^ ])[0-9][^ ]*", "<num>")
     text = F.regexp_replace(text, f"(?<=<num> )(?:{'|'.join(UNITS)})(?![^ ])", "<unit>")
-    return F.lower(F.regexp_replace(text, "(?<![^ ])\\p{Lu}[^ ]*", "<name>"))
+    text = F.regexp_replace(text, "(?<![^ ])\\p{Lu}\\p{Ll}[^ ]*", "<name>")
+    return F.lower(F.translate(text, "_", ""))
 
 
 def _windows(rows: DataFrame, id_col: str, step: int) -> DataFrame:
@@ -94,10 +102,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_TOKENS_SQL = r"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(coalesce(text, ''), '([0-9])[.,:/]([0-9])', '\1_\2', 'g'), '([0-9])[.,:/]([0-9])', '\1_\2', 'g'), '[^\p{L}\p{N}_]+'), lambda x: x <> '')"
+_TOKENS_SQL = r"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '([0-9])[.,:/]([0-9])', '\1_\2', 'g'), '([0-9])[.,:/]([0-9])', '\1_\2', 'g'), '(^|[.!?:\n])[^\p{L}\p{N}]*(\p{Lu})', '\1 _\2', 'g'), '[^\p{L}\p{N}_]+'), lambda x: x <> '')"
 _SHAPE_SQL = rf"""list_transform(raw, lambda x, i: CASE WHEN regexp_matches(x, '^[0-9]') THEN '<num>'
     WHEN i > 1 AND regexp_matches(raw[i - 1], '^[0-9]') AND list_contains([{", ".join(f"'{u}'" for u in UNITS)}], x) THEN '<unit>'
-    WHEN regexp_matches(x, '^\p{{Lu}}') THEN '<name>' ELSE lower(x) END)"""
+    WHEN regexp_matches(x, '^\p{{Lu}}\p{{Ll}}') THEN '<name>' ELSE lower(replace(x, '_', '')) END)"""
 OP3_SQL = rf"""
 WITH d AS (SELECT DISTINCT doc_id, {_TOKENS_SQL} AS t FROM documents), b AS (SELECT DISTINCT item_id, {_TOKENS_SQL} AS t FROM benchmark),
 dw AS (SELECT doc_id, pos, t[pos:pos + 4] AS raw FROM (SELECT doc_id, t, unnest(range(1, len(t) - 3, 5)) AS pos FROM d)),

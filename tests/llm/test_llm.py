@@ -141,6 +141,8 @@ ITEM = "Alice bought 12 apples for 3 dollars and then she gave Robert 5 of these
         (ITEM.replace("12", "70").replace("Alice", "Greta").replace("Paris", "Rome").replace("dollars", "euros"), True),
         (ITEM.lower().replace("alice", "Bob").replace("robert", "Eve").replace("paris", "Oslo"), True),
         (ITEM.replace(" 5 of these", " 8 of these"), True),
+        ("SHOUTED: " + " ".join(ITEM.upper().split()[7:]) + " " + ITEM.upper().replace("ALICE", "Alice").replace("ROBERT", "Robert").replace("PARIS", "Paris"), True),
+        ("Then she said that " + ITEM[0].lower() + ITEM[1:], True),
         (" ".join(ITEM.split()[:7]), False),
         ("An unrelated text about apples and dollars while walking towards something else entirely today", False),
         (None, False),
