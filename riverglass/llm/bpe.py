@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import lean, pieces, table, tidied
 from .word_table import WordTable, pieces_of
 
 
@@ -35,9 +35,9 @@ def encode(documents: DataFrame, path: str, *, carry: tuple[str, ...] = ()) -> D
                 ids = [b"".join([known[w] for w in s]) for s in split]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), *b.columns[2:]], ["doc_id", "ids", *b.schema.names[2:]])
 
-    read = documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", *(f"`{c}` as `__{c}`" for c in carry))
+    read = lean(documents).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", *(f"`{c}` as `__{c}`" for c in carry))
     schema = "doc_id bigint, ids binary" + "".join(f", `__{c}` {kinds[c]}" for c in carry)
-    return read.mapInArrow(run, schema).withColumnsRenamed({f"__{c}": c for c in carry})
+    return read.mapInArrow(tidied(run), schema).withColumnsRenamed({f"__{c}": c for c in carry})
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -57,7 +57,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 found = [b"".join(map(piece, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in b.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], [*b.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(tidied(run), schema)
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The six ASCII white-space characters of the contracts: [\x20\x09-\x0D].
 WS = " \t\n\x0b\x0c\r"
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Bytes in a batch of rows for a Python worker.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,8 +64,25 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return Saved(df, tag).df
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, barrier: bool = False) -> DataFrame:
-    return df.mapInArrow(fn, schema, barrier)
+def lean(df: DataFrame) -> DataFrame:
+    """The same rows; their session sends batches of at most BATCH_BYTES to Python, unless it sets a size of its own."""
+    key, usual = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB", "64m")
+    if df.sparkSession.conf.get(key, usual[0]) in usual:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives its memory back: Spark uses the same worker for other tasks and stages."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return whole
 
 
 def pieces(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from fractions import Fraction
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import pieces, table
+from .common import lean, pieces, table, tidied
 
 #: Least Dice coefficient of a match.
 LEAST = Fraction(8, 10)
@@ -145,7 +145,7 @@ def scan(documents: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES
                 kinds = (pa.int64(), pa.string(), pa.bool_(), pa.float64(), pa.string(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "license", "restricted", "dice", "kind", "number", "n_matches"])
 
-    return documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, license string, restricted boolean, dice double, kind string, number bigint, n_matches bigint")
+    return lean(documents).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidied(run), "doc_id bigint, license string, restricted boolean, dice double, kind string, number bigint, n_matches bigint")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

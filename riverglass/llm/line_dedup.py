@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, Saved, mix64, pieces, table
+from .common import WS, Saved, lean, mix64, pieces, table, tidied
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Keys in a shard of the index: what one task builds and one cogroup loads.
@@ -134,7 +134,7 @@ def line_index(documents: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: in
     for each task. A line seen in fewer documents decides nothing and is left out; its probes fail on the
     64-bit fingerprint, beside the 64-bit key that picks shard and slot.
     """
-    lines = documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(_line_rows(min_chars), "doc_id bigint, h1 bigint, h2 bigint")
+    lines = lean(documents).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidied(_line_rows(min_chars)), "doc_id bigint, h1 bigint, h2 bigint")
     counted = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("doc_id"), F.lit(-(2**63))).alias("keeper")).where(F.col("n") >= min_docs)
     counts = Saved(counted, "line-counts").df
     n_shards = max(1, -(-counts.count() // SHARD_KEYS))
@@ -236,7 +236,7 @@ def dedup_lines(documents: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: i
     kinds = dict(documents.dtypes)
     schema = OUT + "".join(f", `__{c}` {kinds[c]}" for c in carry)
     lines, shards, n_shards = line_index(documents, min_chars=min_chars, min_docs=min_docs)
-    docs = documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", *(f"`{c}` as `__{c}`" for c in carry))
+    docs = lean(documents).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", *(f"`{c}` as `__{c}`" for c in carry))
     rest = lambda b: {f"__{c}": b.column(f"__{c}") for c in carry}
     names = lambda df: df.withColumnsRenamed({f"__{c}": c for c in carry})
     if (shards.agg(F.sum(F.length("blob"))).first()[0] or 0) <= broadcast_bytes:
@@ -250,7 +250,7 @@ def dedup_lines(documents: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: i
                     index.ids = np.array([-(2**63) if i is None else i for i in ids], np.int64)
                     yield _rewrite(ids, b.column(1).to_pylist(), rest(b), index)
 
-        return names(docs.mapInArrow(whole, schema))
+        return names(docs.mapInArrow(tidied(whole), schema))
 
     hits = _spread(lines, shards, n_shards, group_probes).groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("hits"))
 
@@ -262,7 +262,7 @@ def dedup_lines(documents: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: i
                 yield _rewrite(b.column(0).to_pylist(), b.column(1).to_pylist(), rest(b), known)
 
     same = docs.doc_id.eqNullSafe(hits.doc_id)
-    return names(docs.join(hits, same, "left").drop(hits.doc_id).mapInArrow(by_hits, schema))
+    return names(docs.join(hits, same, "left").drop(hits.doc_id).mapInArrow(tidied(by_hits), schema))
 
 
 def _spread(lines: DataFrame, shards: DataFrame, n_shards: int, group_probes: int) -> DataFrame:

@@ -15,7 +15,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table
+from .common import fresh_path, lean, table, tidied
 
 #: Bytes in a row of the image; a payload is padded to a positive multiple of it.
 WIDTH = 192
@@ -123,7 +123,7 @@ def store_payloads(documents: DataFrame, folder: str, *, width: int = WIDTH, sha
         if rows:
             yield done()
 
-    return documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, ROWS)
+    return lean(documents).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidied(run), ROWS)
 
 
 class _Reader:
@@ -152,7 +152,7 @@ def with_metadata(rows: DataFrame) -> DataFrame:
             more = [pa.array([h[k] for h in heads], pa.int32()) for k in ("width", "height", "depth")]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "width", "height", "depth"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def with_payload_digests(rows: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def with_payload_digests(rows: DataFrame) -> DataFrame:
                 more = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *names])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def fetch(rows: DataFrame) -> list[bytes]:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Saved, mix64, pieces, table
+from .common import Saved, lean, mix64, pieces, table, tidied
 
 #: Words of a shingle, and the least similarity of a link as a fraction.
 WORDS, LEAST = 4, (85, 100)
@@ -21,7 +21,7 @@ _PARTS = 16
 SEEDS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Buckets of document ids by which the sets of candidates are read.
 BUCKETS = 1 << 20
-_MOST = 1_000_000
+_MOST = 200_000
 _MIX = [np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -61,7 +61,7 @@ def _ceil(a, b):
 
 
 def _texts(documents: DataFrame) -> DataFrame:
-    return documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
+    return lean(documents).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
 
 
 def frequency_levels(documents: DataFrame, words: int = WORDS) -> np.ndarray:
@@ -94,7 +94,7 @@ def frequency_levels(documents: DataFrame, words: int = WORDS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([key[-1].as_py()], pa.int32()), pa.array([total.astype(_width(total)).tobytes()], pa.binary())], ["salt", "part", "counts"])
 
     schema = "salt int, part int, counts binary"
-    parts = documents.selectExpr("cast(text as string) text").mapInArrow(count, schema)
+    parts = lean(documents).selectExpr("cast(text as string) text").mapInArrow(tidied(count), schema)
     sums = parts.groupBy("salt", "part").applyInArrow(_grouped(add), schema).groupBy("part").applyInArrow(_grouped(add), schema).collect()
     levels = np.zeros(CELLS, np.uint8)
     for r in sums:
@@ -150,7 +150,7 @@ def _marks(documents: DataFrame, levels: np.ndarray, least: tuple[int, int], wor
                 kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] + [pa.list_(pa.int32())] * (len(SEEDS) - 1)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "n", "c1", "c2", "p1", "p2", "p3"])
 
-    return _texts(documents).mapInArrow(run, "doc_id bigint, n bigint, c1 bigint, c2 bigint, p1 array<bigint>, p2 array<int>, p3 array<int>")
+    return _texts(documents).mapInArrow(tidied(run), "doc_id bigint, n bigint, c1 bigint, c2 bigint, p1 array<bigint>, p2 array<int>, p3 array<int>")
 
 
 def _up(x: Column, y: int) -> Column:
@@ -212,7 +212,7 @@ class Join:
                 for p in pieces(batch):
                     yield pa.RecordBatch.from_arrays([p.column(0), pa.array([shingler.of(t).tobytes() for t in p.column(1).to_pylist()], pa.binary())], ["v", "s"])
 
-        held = texts.mapInArrow(sets, "v bigint, s binary").join(ids, "v", "left_semi")
+        held = texts.mapInArrow(tidied(sets), "v bigint, s binary").join(ids, "v", "left_semi")
         side = lambda c: held.withColumnsRenamed({"v": c, "s": f"s{c}"})
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +226,7 @@ class Join:
                     mask = pa.array(ok, pa.bool_())
                     yield pa.RecordBatch.from_arrays([p.column("x").filter(mask), p.column("y").filter(mask)], ["x", "y"])
 
-        return left.join(side("x"), "x").join(side("y"), "y").select("x", "y", "sx", "sy").mapInArrow(check, "x bigint, y bigint").distinct()
+        return left.join(side("x"), "x").join(side("y"), "y").select("x", "y", "sx", "sy").mapInArrow(tidied(check), "x bigint, y bigint").distinct()
 
     def components(self, links: DataFrame) -> DataFrame:
         """(v, c): the least v reachable by links from each v that has one. Labels meet their neighbours', then jump."""

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import lean, pieces, table, tidied
 
 #: Labelled rows that the classifier is fitted on at most, chosen by a hash of their id.
 MAX_TRAIN = 12_000
@@ -24,7 +24,7 @@ SWAP, L1, L2 = 4.0, 4e-4, 1e-4
 ROUNDS = 300
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 #: Terms in entries of the tables a task keeps; they are emptied beyond it.
-_MOST = 600_000
+_MOST = 200_000
 
 #: Terms that name groups, by kind. A term is swapped for the next ones of its kind.
 IDENTITY_TERMS = {
@@ -147,7 +147,7 @@ def train(documents: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN
     """
     known = labels.selectExpr("cast(doc_id as bigint) doc_id", "cast(toxic as int) toxic").where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     sample = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").join(F.broadcast(sample), "doc_id")  # max_train rows of two numbers
+    rows = lean(documents).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").join(F.broadcast(sample), "doc_id")  # max_train rows of two numbers
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, seen = Features(None), {0: Counter(), 1: Counter()}
@@ -157,7 +157,7 @@ def train(documents: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN
         names = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][f] for f in names], pa.int64()), pa.array([seen[0][f] for f in names], pa.int64())], ["feature", "pos", "neg"])
 
-    counts = rows.mapInArrow(count, "feature string, pos bigint, neg bigint").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") + F.col("neg") >= min_docs)
+    counts = rows.mapInArrow(tidied(count), "feature string, pos bigint, neg bigint").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") + F.col("neg") >= min_docs)
     (n_pos, n_neg) = sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     p, q = (F.col("pos") + 0.5) / ((n_pos or 0) + 1.0), (F.col("neg") + 0.5) / ((n_neg or 0) + 1.0)
     strength = F.abs(F.log(p / q)) * F.sqrt(F.col("pos") * 3 + F.col("neg"))
@@ -173,7 +173,7 @@ def train(documents: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN
                 out.append((sorted(found.of(text)), [sorted(found.of(t)) for t in others if t != text.lower()]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([x[0] for x in out], pa.list_(pa.int32())), pa.array([x[1] for x in out], pa.list_(pa.list_(pa.int32())))], ["doc_id", "toxic", "own", "others"])
 
-    got = rows.mapInArrow(vectors, "doc_id bigint, toxic int, own array<int>, others array<array<int>>").collect()  # max_train rows of kept features
+    got = rows.mapInArrow(tidied(vectors), "doc_id bigint, toxic int, own array<int>, others array<array<int>>").collect()  # max_train rows of kept features
     return fit([(r.toxic, r.own, r.others) for r in sorted(got, key=lambda r: (r.doc_id, r.own))], chosen, **how).pruned()
 
 
@@ -193,9 +193,9 @@ def score(documents: DataFrame, model: Model, *, carry: tuple[str, ...] = ()) ->
                 z = np.array([model.logit(found.of(t)) for t in b.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35)))), *b.columns[2:]], ["doc_id", "score", *b.schema.names[2:]])
 
-    read = documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", *(f"`{c}` as `__{c}`" for c in carry))
+    read = lean(documents).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", *(f"`{c}` as `__{c}`" for c in carry))
     schema = "doc_id bigint, score double" + "".join(f", `__{c}` {kinds[c]}" for c in carry)
-    return read.mapInArrow(run, schema).withColumnsRenamed({f"__{c}": c for c in carry})
+    return read.mapInArrow(tidied(run), schema).withColumnsRenamed({f"__{c}": c for c in carry})
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import lean, table, tidied
 
 #: Verdict of a url that no rule fits.
 DEFAULT_VERDICT = "allow"
@@ -98,9 +98,9 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], *, id_co
         blocks[-1].append(rule)
         size += len(rule.name)
     kind = dict(pages.dtypes)[id_col]
-    out = pages.selectExpr(f"`{id_col}`", f"cast(`{url_col}` as string) as `__url`", "cast(null as struct<host:string,path:string,verdict:string>) as `__best`")
+    out = lean(pages).selectExpr(f"`{id_col}`", f"cast(`{url_col}` as string) as `__url`", "cast(null as struct<host:string,path:string,verdict:string>) as `__best`")
     for block in blocks:
-        out = out.mapInArrow(_pass(block), f"`{id_col}` {kind}, `__url` string, `__best` struct<host:string,path:string,verdict:string>")
+        out = out.mapInArrow(tidied(_pass(block)), f"`{id_col}` {kind}, `__url` string, `__best` struct<host:string,path:string,verdict:string>")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,7 +117,7 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], *, id_co
                 [id_col, "host", "path", "rule", "verdict"],
             )
 
-    return out.mapInArrow(finish, f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
+    return out.mapInArrow(tidied(finish), f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
 
 
 def _pass(rules: list[Rule]):

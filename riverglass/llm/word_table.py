@@ -38,7 +38,7 @@ class WordTable:
     table is emptied once it holds most words, so its memory is bounded whatever the documents are.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
