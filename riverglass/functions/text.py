@@ -27,8 +27,9 @@ def _accents() -> tuple[str, str]:
 
 
 def folded(text: Column) -> Column:
-    """Lower-cased, without marks on letters."""
-    return F.translate(F.lower(text), *_accents())
+    """Lower-cased, without marks on letters. Texts of ASCII alone are spared the look at each letter."""
+    low = F.lower(text)
+    return F.when(text.rlike("[^\\x00-\\x7F]"), F.translate(low, *_accents())).otherwise(low)
 
 
 def word_tokens(text: Column) -> Column:
