@@ -44,7 +44,7 @@ def template(window: Column) -> Column:
     text = F.regexp_replace(text, "(?<![^ ])[0-9][^ ]*", "<num>")
     text = F.regexp_replace(text, f"(?<=<num> )(?:{'|'.join(UNITS)})(?![^ ])", "<unit>")
     text = F.regexp_replace(text, "(?<![^ ])\\p{Lu}\\p{Ll}[^ ]*", "<name>")
-    return F.lower(F.translate(text, "_", ""))
+    return F.lower(F.replace(text, F.lit("_"), F.lit("")))
 
 
 def _windows(rows: DataFrame, id_col: str, step: int) -> DataFrame:
