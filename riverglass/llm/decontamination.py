@@ -42,7 +42,7 @@ def template(window: Column) -> Column:
     """
     text = F.concat_ws(" ", window)
     text = F.regexp_replace(text, "(?<![^ ])[0-9][^ ]*", "<num>")
-    text = F.regexp_replace(text, f"(?<=<num> )(?:{'|'.join(UNITS)})(?![^ ])", "<unit>")
+    text = F.regexp_replace(text, f"(?<=<num> )(?i:{'|'.join(UNITS)})(?![^ ])", "<unit>")
     text = F.regexp_replace(text, "(?<![^ ])\\p{Lu}\\p{Ll}[^ ]*", "<name>")
     return F.lower(F.replace(text, F.lit("_"), F.lit("")))
 
@@ -104,7 +104,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TOKENS_SQL = r"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '([0-9])[.,:/]([0-9])', '\1_\2', 'g'), '([0-9])[.,:/]([0-9])', '\1_\2', 'g'), '(^|[.!?:\n])[^\p{L}\p{N}]*(\p{Lu})', '\1 _\2', 'g'), '[^\p{L}\p{N}_]+'), lambda x: x <> '')"
 _SHAPE_SQL = rf"""list_transform(raw, lambda x, i: CASE WHEN regexp_matches(x, '^[0-9]') THEN '<num>'
-    WHEN i > 1 AND regexp_matches(raw[i - 1], '^[0-9]') AND list_contains([{", ".join(f"'{u}'" for u in UNITS)}], x) THEN '<unit>'
+    WHEN i > 1 AND regexp_matches(raw[i - 1], '^[0-9]') AND list_contains([{", ".join(f"'{u}'" for u in UNITS)}], lower(x)) THEN '<unit>'
     WHEN regexp_matches(x, '^\p{{Lu}}\p{{Ll}}') THEN '<name>' ELSE lower(replace(x, '_', '')) END)"""
 OP3_SQL = rf"""
 WITH d AS (SELECT DISTINCT doc_id, {_TOKENS_SQL} AS t FROM documents), b AS (SELECT DISTINCT item_id, {_TOKENS_SQL} AS t FROM benchmark),
