@@ -172,10 +172,15 @@ class Join:
         return self.temporary[-1].df
 
     def postings(self) -> DataFrame:
-        """(token, v, n, pos) of the prefixes under the first order, of tokens that two classes share."""
-        rows = self.marks.where("p1 is not null").select("c1", "c2", "n", F.posexplode("p1").alias("pos", "token"))
-        shared = rows.groupBy("token").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).where("a < b").select("token")
-        return rows.join(shared, "token", "left_semi").join(self.reps, ["c1", "c2"]).select("token", "v", "n", "pos").distinct()
+        """(token, v, n, pos) of the prefixes under the first order, of tokens that two documents share.
+
+        Rows carry doc_ids, short numbers that compress, until only shared tokens are left.
+        """
+        marked = self.marks.where("p1 is not null")
+        rows = marked.select(F.col("doc_id").alias("d"), "n", F.posexplode("p1").alias("pos", "token"))
+        shared = rows.groupBy("token").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select("token")
+        which = marked.select(F.col("doc_id").alias("d"), "c1", "c2").join(self.reps, ["c1", "c2"]).select("d", "v")
+        return rows.join(shared, "token", "left_semi").join(which, "d").select("token", "v", "n", "pos").distinct()
 
     def indexed(self, n: Column, pos: Column) -> Column:
         """Whether the smaller set of a linking pair must hold a shared token at such a place at the latest."""
