@@ -21,6 +21,8 @@ _PARTS = 16
 SEEDS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Buckets of document ids by which the sets of candidates are read.
 BUCKETS = 1 << 20
+#: Sets that share a token are paired directly up to so many; larger groups are compared by what sets them apart.
+LARGE = 48
 _MOST = 200_000
 _MIX = [np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -153,6 +155,18 @@ def _marks(documents: DataFrame, levels: np.ndarray, least: tuple[int, int], wor
     return _texts(documents).mapInArrow(tidied(run), "doc_id bigint, n bigint, c1 bigint, c2 bigint, p1 array<bigint>, p2 array<int>, p3 array<int>")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, token, k): how many of the sets of each g hold a token, once for each slice."""
+    for batch in batches:
+        for p in pieces(batch):
+            of: dict[int, list] = {}
+            for g, s in zip(p.column("g").to_pylist(), p.column("s").to_pylist(), strict=True):
+                of.setdefault(g, []).append(np.frombuffer(s, np.int64))
+            for g, sets in of.items():
+                token, k = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), g, np.int64)), pa.array(token), pa.array(k.astype(np.int64))], ["g", "token", "k"])
+
+
 def _up(x: Column, y: int) -> Column:
     """x / y, rounded up, in whole numbers."""
     return F.floor((x + F.lit(y - 1)) / F.lit(y)).cast("bigint")
@@ -161,10 +175,10 @@ def _up(x: Column, y: int) -> Column:
 class Join:
     """The steps of the join; see ngram_components()."""
 
-    def __init__(self, documents: DataFrame, least: tuple[int, int] = LEAST, words: int = WORDS):
-        self.documents, self.least, self.words, self.temporary = documents, least, words, []
-        levels = frequency_levels(documents, words)
-        self.marks = self.save(_marks(documents, levels, least, words), "ngram-marks")
+    def __init__(self, documents: DataFrame, least: tuple[int, int] = LEAST, words: int = WORDS, large: int = LARGE):
+        self.documents, self.least, self.words, self.large, self.temporary = documents, least, words, large, []
+        self.levels = frequency_levels(documents, words)
+        self.marks = self.save(_marks(documents, self.levels, least, words), "ngram-marks")
         self.reps = self.save(self.marks.where("doc_id is not null and n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("v")), "ngram-classes")
 
     def save(self, df: DataFrame, tag: str) -> DataFrame:
@@ -201,23 +215,26 @@ class Join:
         both = pairs.join(side("x"), "x").join(side("y"), "y")
         return both.where(F.arrays_overlap("x2", "y2") & F.arrays_overlap("x3", "y3")).select("x", "y")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y) whose whole sets reach the similarity."""
-        a, b = self.least
-        left = self.save(self.orders(pairs), "ngram-candidates")
-        ids = left.selectExpr("explode(array(x, y)) v").distinct()
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(v, s): the whole set of each v of ids, as sorted hashes."""
         bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
         wanted = ids.select(F.pmod(F.xxhash64("v"), F.lit(BUCKETS)).alias("bucket")).distinct()
         texts = _texts(self.documents).where("doc_id is not null").withColumn("bucket", bucket).join(F.broadcast(wanted), "bucket", "left_semi").select("doc_id", "text")  # at most BUCKETS numbers
         words = self.words
 
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingler = Shingler(words)
             for batch in batches:
                 for p in pieces(batch):
                     yield pa.RecordBatch.from_arrays([p.column(0), pa.array([shingler.of(t).tobytes() for t in p.column(1).to_pylist()], pa.binary())], ["v", "s"])
 
-        held = texts.mapInArrow(tidied(sets), "v bigint, s binary").join(ids, "v", "left_semi")
+        return texts.mapInArrow(tidied(run), "v bigint, s binary").join(ids, "v", "left_semi")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (x, y) whose whole sets reach the similarity."""
+        a, b = self.least
+        left = self.save(self.orders(pairs), "ngram-candidates")
+        held = self.sets(left.selectExpr("explode(array(x, y)) v").distinct())
         side = lambda c: held.withColumnsRenamed({"v": c, "s": f"s{c}"})
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,6 +263,85 @@ class Join:
             if new.where("c < old").isEmpty():
                 return labels
 
+    def directly(self, known: DataFrame, own: DataFrame) -> DataFrame:
+        """Pairs of different components that share a token within the bounds."""
+        known = known.join(own, "v", "left").withColumn("c", F.coalesce("c", "v"))
+        small = known.where(self.indexed(F.col("n"), F.col("pos"))).select("token", F.col("v").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("c").alias("cx"))
+        large = known.select("token", F.col("v").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("c").alias("cy"))
+        apart = (F.col("cx") != F.col("cy")) & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))))
+        met = small.join(large, (small.token == large.token) & apart & self.may_link(F.col("nx"), F.col("px"), F.col("ny"), F.col("py")))
+        return met.selectExpr("least(x, y) x", "greatest(x, y) y")
+
+    def families(self, groups: DataFrame) -> DataFrame:
+        """(g, v, n, d, w, home): what sets v apart from the centre of each family g that it is compared in.
+
+        A centre are the tokens that half of some sets hold: first of a group's, then of those that choose it as
+        their home, which is the largest one they are like. A group is compared by the centre of the home that
+        most of its members have, so that a group in which families meet is told apart by a centre of one of them.
+        """
+        sets = self.save(self.sets(groups.select("v").distinct()), "ngram-family-sets")
+        first = self.save(self.homes(self.differences(groups, sets, self.centres(groups, sets)), groups), "ngram-homes")
+        ones = groups.select("v", "n").distinct()
+        kept = self.save(ones.join(first, "v").select(F.col("home").alias("g"), "v", "n"), "ngram-kept")
+        most = groups.join(first, "v").groupBy("g", "home").count().groupBy("g").agg((-F.max(F.struct("count", (-F.col("home")).alias("h"))).h).alias("by"))
+        compared = groups.join(most, "g").select(F.col("by").alias("g"), "v", "n").unionByName(kept).distinct()
+        apart = self.save(self.differences(compared, sets, self.centres(kept, sets)), "ngram-apart")
+        return apart.join(self.homes(apart, kept), "v")
+
+    def centres(self, members: DataFrame, sets: DataFrame) -> DataFrame:
+        """(g, centre): the tokens that half the members of g hold; at most twice as many as they hold on average."""
+        size = members.groupBy("g").agg(F.count("*").alias("size"))
+        tokens = members.join(sets, "v").select("g", "s").mapInArrow(tidied(_counted), "g bigint, token bigint, k bigint").groupBy("g", "token").agg(F.sum("k").alias("k"))
+        return self.save(tokens.join(size, "g").where("2 * k >= size").groupBy("g").agg(F.collect_list("token").alias("centre")), "ngram-centres")
+
+    def homes(self, apart: DataFrame, members: DataFrame) -> DataFrame:
+        """(v, home): of what v is compared in, the g of most members that v differs from by half at most; else the nearest."""
+        size = members.groupBy("g").agg(F.count("*").alias("size"))
+        near = apart.select("g", "v", F.size("d").alias("far"), (2 * F.size("d") <= F.col("n")).alias("like")).join(size, "g")
+        best = F.struct("like", F.when(F.col("like"), F.col("size")).otherwise(-F.col("far")), (-F.col("g")).alias("g"))
+        return near.groupBy("v").agg((-F.max(best).g).alias("home"))
+
+    def differences(self, members: DataFrame, sets: DataFrame, centre: DataFrame) -> DataFrame:
+        """(g, v, n, d, w): d is the symmetric difference D to the centre of g, rare tokens first.
+
+        Whatever the centre, two sets link exactly if 2 (a + b) |D1 & D2| >= w1 + w2 with w = (a + b) |D| - (b - a) n.
+        """
+        a, b = self.least
+        sent = members.sparkSession.sparkContext.broadcast(self.levels)  # CELLS bytes
+
+        def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            level = sent.value
+            for batch in batches:
+                for p in pieces(batch):
+                    out = []
+                    for s, c in zip(p.column("s").to_pylist(), p.column("centre").to_pylist(), strict=True):
+                        d = np.setxor1d(np.frombuffer(s, np.uint64), np.array(c or [], np.int64).view(np.uint64))
+                        top = level[_cells(d)].astype(np.uint64) << np.uint64(58)
+                        out.append(d[np.argsort(top | (d >> np.uint64(6)), kind="stable")].view(np.int64))
+                    yield pa.RecordBatch.from_arrays([p.column("g"), p.column("v"), p.column("n"), pa.array(out, pa.list_(pa.int64()))], ["g", "v", "n", "d"])
+
+        found = members.join(sets, "v").join(centre, "g", "left").select("g", "v", "n", "s", "centre").mapInArrow(tidied(apart), "g bigint, v bigint, n bigint, d array<bigint>")
+        return found.withColumn("w", F.size("d").cast("bigint") * (a + b) - F.col("n") * (b - a))
+
+    def by_differences(self, apart: DataFrame, centre: DataFrame, own: DataFrame) -> DataFrame:
+        """Pairs of different components of a family that share enough of what sets them apart from its centre.
+
+        The member of least w, m, has been compared with all others. If w1 + w2 <= 0, both link with m and are
+        in one component. All other pairs that link share a token of their differences, and of the prefixes of these.
+        Pairs of one home are compared there alone.
+        """
+        a, b = self.least
+        rows = apart.join(centre, "g").join(own, "v", "left").withColumn("c", F.coalesce("c", "v"))
+        cut = lambda need: F.slice("d", 1, F.size("d") + 1 - F.least(F.size("d") + 1, F.greatest(F.lit(1), need)).cast("int"))
+        side = lambda v, need: rows.select("g", F.col("v").alias(v), F.col("n").alias(f"n{v}"), F.col("w").alias(f"w{v}"), F.col("c").alias(f"c{v}"), F.col("home").alias(f"h{v}"), F.size("d").alias(f"d{v}"), F.posexplode(cut(need)).alias(f"p{v}", "token"))
+        x, y = side("x", _up(F.col("w"), a + b)), side("y", _up(F.col("w") + F.col("wm"), 2 * (a + b)))
+        later = (F.col("wx") < F.col("wy")) | ((F.col("wx") == F.col("wy")) & (F.col("x") < F.col("y")))
+        sized = F.least("nx", "ny") * b >= F.greatest("nx", "ny") * a
+        enough = F.least(F.col("dx") - F.col("px"), F.col("dy") - F.col("py")) * (2 * (a + b)) >= F.col("wx") + F.col("wy")  # from the first shared token on
+        here = (F.col("hx") != F.col("hy")) | (F.col("hx") == F.col("g"))
+        met = x.join(y, ["g", "token"]).where((F.col("cx") != F.col("cy")) & later & sized & enough & here)
+        return met.selectExpr("least(x, y) x", "greatest(x, y) y")
+
     def run(self) -> DataFrame:
         live = self.save(self.postings(), "ngram-postings")
         #: First each set meets one leader of each token it holds: the one least changed, which joins most of a family of copies.
@@ -255,22 +351,30 @@ class Join:
         star = self.save(star.selectExpr("least(x, y) x", "greatest(x, y) y").distinct(), "ngram-star")
         links = self.save(self.verified(star), "ngram-links")
         own = self.components(links)
-        #: Then all pairs that these links leave apart.
+        #: Then all pairs that these links leave apart: those of large groups by their differences, others directly.
         known = live.join(own, "v", "left").withColumn("c", F.coalesce("c", "v"))
-        open_ = known.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("token")
-        known = self.save(known.join(open_, "token", "left_semi"), "ngram-open")
-        small = known.where(self.indexed(F.col("n"), F.col("pos"))).select("token", F.col("v").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("c").alias("cx"))
-        large = known.select("token", F.col("v").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("c").alias("cy"))
-        apart = (F.col("cx") != F.col("cy")) & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))))
-        met = small.join(large, (small.token == large.token) & apart & self.may_link(F.col("nx"), F.col("px"), F.col("ny"), F.col("py")))
-        rest = met.selectExpr("least(x, y) x", "greatest(x, y) y").distinct().join(star, ["x", "y"], "left_anti")
+        open_ = known.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("size"), F.min("v").alias("g")).where("a < b").select("token", "size", "g")
+        known = self.save(known.join(open_, "token").select("token", "v", "n", "pos", "size", "g"), "ngram-open")
+        groups = self.save(known.where(F.col("size") > self.large).select("g", "v", "n").distinct(), "ngram-groups")
+        tried, met = star, None
+        if not groups.isEmpty():
+            apart = self.save(self.families(groups), "ngram-differences")
+            centre = apart.groupBy("g").agg(F.min(F.struct("w", "v")).alias("m")).select("g", F.col("m.w").alias("wm"), F.col("m.v").alias("m"))
+            spokes = apart.join(centre, "g").where("v <> m").selectExpr("least(v, m) x", "greatest(v, m) y").distinct()
+            spokes = self.save(spokes.join(star, ["x", "y"], "left_anti"), "ngram-spokes")
+            tried = star.unionByName(spokes)
+            links = links.unionByName(self.save(self.verified(spokes), "ngram-links"))
+            own = self.components(links)
+            met = self.by_differences(apart, centre, own)
+        direct = self.directly(known.where(F.col("size") <= self.large), own)
+        rest = (direct if met is None else direct.unionByName(met)).distinct().join(tried, ["x", "y"], "left_anti")
         more = self.save(self.verified(self.save(rest, "ngram-rest")), "ngram-links")
         self.links = links.unionByName(more)
         final = own if more.isEmpty() else self.components(self.links)
         return self.save(final, "ngram-components")
 
 
-def ngram_components(documents: DataFrame, *, least: tuple[int, int] = LEAST, words: int = WORDS) -> DataFrame:
+def ngram_components(documents: DataFrame, *, least: tuple[int, int] = LEAST, words: int = WORDS, large: int = LARGE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document.
 
     A document's set are its distinct shingles of so many words (all its words as one shingle if it has
@@ -282,12 +386,15 @@ def ngram_components(documents: DataFrame, *, least: tuple[int, int] = LEAST, wo
     under each order: pairs come from the postings of the first order, within bounds of size and position,
     must share tokens in the prefixes of all others, and are then verified over whole sets. Pairs that
     earlier links already join aren't made, so a family of copies costs about one pair for each member.
+    Members of large families that don't link are told apart by their differences from the family's centre:
+    only those that share some of these differences become pairs. `large` decides which way a group goes,
+    never what is found.
 
     Null and empty texts, and those of white space alone, have 0 shingles and link with nothing. A row
     without doc_id takes no part; its component_id is null. Rows of one doc_id are one document. Very long
     texts count whole; ties go to the smallest doc_id; empty tables give no rows; other columns are not read.
     """
-    join = Join(documents, least, words)
+    join = Join(documents, least, words, large)
     found = join.run()
     classes = join.reps.join(found, "v", "left").select("c1", "c2", F.coalesce("c", "v").alias("c"))
     out = join.marks.select("doc_id", "n", "c1", "c2").join(classes, ["c1", "c2"], "left")

@@ -376,6 +376,22 @@ def test_components(spark):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("large", [3, 12])
+def test_components_of_large_families(spark, large):
+    rng, rows = random.Random(11), []
+    base = [[f"{'abc'[f]}{rng.randrange(10**6)}" for _ in range(90)] for f in range(3)]
+    common = [f"z{k}" for k in range(12)]
+    base.append(base[0][:55])
+    for f, words in enumerate(base):
+        for k in range(40):
+            own = list(words)
+            for at in rng.sample(range(len(own)), rng.choice([0, 1, 2, 2, 3, 4, 5])):
+                own[at] = rng.choice([f"e{rng.randrange(4)}", f"q{rng.randrange(10**6)}"])
+            rows.append((1000 * (k % 2) + 100 * f + k, " ".join(own + (common if k % 3 else []))))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs(spark, rows).repartition(3), large=large).collect()}
+    assert got == brute_components(rows) and len({c for _, c in got.values()}) > 20
+
+
 def test_components_odd_rows(spark):
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs(spark, ODD)).collect())
     assert got[(5, 1, 5)] == 2 and got[(None, 1, None)] == 1 and got[(2, 0, 2)] == got[(3, 0, 3)] == got[(4, 0, 4)] == 1 and sum(got.values()) == len(ODD)
