@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from .common import lean, pieces, table, tidied
 from .word_table import WordTable, pieces_of
 
+#: Bytes of rows whose words or pieces are held at a time: as Python objects they take many times as much.
+PIECE_BYTES = 2 << 20
+
 
 def encode(documents: DataFrame, path: str, *, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, ids, *carry): ids as one binary of little-endian unsigned 32-bit numbers.
@@ -29,7 +32,7 @@ def encode(documents: DataFrame, path: str, *, carry: tuple[str, ...] = ()) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTable(path)
         for batch in batches:
-            for b in pieces(batch):
+            for b in pieces(batch, PIECE_BYTES):
                 split = [words.words(t or "") for t in b.column(1).to_pylist()]
                 known = words.ids(split)
                 ids = [b"".join([known[w] for w in s]) for s in split]
@@ -53,7 +56,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
         piece = pieces_of(Tokenizer.from_file(path)).__getitem__
         for batch in batches:
-            for b in pieces(batch):
+            for b in pieces(batch, PIECE_BYTES):
                 found = [b"".join(map(piece, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in b.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], [*b.schema.names, "decoded"])
 

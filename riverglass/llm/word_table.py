@@ -70,8 +70,8 @@ class WordTable:
             self.table.clear()
         table = self.table
         new = list(set().union(*texts_words).difference(table)) if texts_words else []
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
+        for at in range(0, len(new), 4_096):
+            some = new[at : at + 4_096]
             for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 table[word] = b"".join([i.to_bytes(4, "little") for i in found.ids])
         return table
