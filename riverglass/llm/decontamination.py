@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Tokens in a window; a document's windows tile it, an item's start at every token.
+#: Tokens in a window; an item's windows start at every token, a document's tile it under one rule and slide under the other.
 WINDOW = 5
+TILED, SLIDING = 0, 1
+#: How far apart the diagonals of a passage may be under the sliding rule: tokens more or less inside it.
+DRIFT = 4
 #: Literal tokens that a window of an item needs: one of placeholders alone says nothing.
 MIN_LITERAL = 2
 #: Windows that must match on one diagonal, and their share of those that could.
@@ -23,6 +26,7 @@ UNITS = (
     "dollars", "cents", "euros", "percent", "degrees", "kmh", "mph", "hz", "kw", "v", "w",
 )
 _APART = "[^\\p{L}\\p{N}_]+"
+_SLOT, _GLUE = "(?:[0-9]|\\p{Lu}\\p{Ll})", "\u0001"
 
 
 def tokens(text: Column) -> Column:
@@ -47,55 +51,130 @@ def template(window: Column) -> Column:
     return F.lower(F.replace(text, F.lit("_"), F.lit("")))
 
 
-def _windows(rows: DataFrame, id_col: str, step: int) -> DataFrame:
-    """(id, at, raw, len): windows of WINDOW tokens, from every step-th token on."""
-    cut = rows.select(F.col(id_col).cast("bigint").alias(id_col), tokens(F.col("text").cast("string")).alias("t")).where(F.size("t") >= WINDOW)
-    starts = F.sequence(F.lit(1), F.size("t") - (WINDOW - 1), F.lit(step))
-    made = F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice(F.col("t"), i, WINDOW).alias("raw")))
-    return cut.select(id_col, F.explode(made).alias("w")).select(id_col, F.col("w.at").alias("at"), F.col("w.raw").alias("raw"))
+def _glued(t: Column) -> Column:
+    """The tokens as one string, a space between them but a mark inside each run of numbers, units after numbers, and names."""
+    text = F.regexp_replace(F.concat_ws(" ", t), f"((?<![^ ])[0-9][^ ]*) (?=(?i:{'|'.join(UNITS)})(?![^ ]))", f"$1{_GLUE}")
+    return F.regexp_replace(text, f"((?<![^ ]){_SLOT}[^ ]*) (?={_SLOT})", f"$1{_GLUE}")
+
+
+def _collapsed(glued: Column) -> Column:
+    """The template of glued tokens: one placeholder for each run, the other tokens in lower case."""
+    return F.lower(F.replace(F.regexp_replace(glued, f"(?<![^ ]){_SLOT}[^ ]*", "<slot>"), F.lit("_"), F.lit("")))
+
+
+def _cut(raw: Column, kinds: Column, rule: int, size: int | Column, step: int, last: Column) -> Column:
+    """An array of (at, h, raw): windows from every step-th token on, none if there are too few tokens. h: the hash of rule and template."""
+
+    def window(i: Column) -> Column:
+        shape = [F.slice(kinds, i, size)]
+        if rule == TILED:  # a unit that starts a window has no number before it there
+            first = F.get(kinds, i - 1)
+            shape = [F.when(first == "<unit>", F.lower(F.replace(F.get(raw, i - 1), F.lit("_"), F.lit("")))).otherwise(first), F.slice(kinds, i + 1, WINDOW - 1)]
+        return F.struct(i.alias("at"), F.xxhash64(F.lit(rule), *shape).alias("h"), F.slice(raw, i, size).alias("raw"))
+
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, window)
+
+
+def _shape(rule: Column, raw: Column) -> Column:
+    """The template of one window."""
+    return F.split(F.when(rule == TILED, template(raw)).otherwise(_collapsed(F.concat_ws(" ", raw))), " ")
+
+
+def _read(rows: DataFrame, id_col: str) -> DataFrame:
+    """(id, t, kinds, runs, shapes): tokens and their templates, alone and with runs of placeholders collapsed.
+
+    Templates are made of whole texts, so each expression runs once for a text.
+    """
+    cut = rows.select(F.col(id_col).cast("bigint").alias(id_col), tokens(F.col("text").cast("string")).alias("t"))
+    cut = cut.select("*", F.split(template(F.col("t")), " ").alias("kinds"), _glued(F.col("t")).alias("glued"))
+    empty = F.array().cast("array<string>")
+    full = F.size("t") > 0
+    return cut.select(id_col, "t", "kinds", F.when(full, F.split("glued", " ")).otherwise(empty).alias("runs"), F.when(full, F.split(_collapsed(F.col("glued")), " ")).otherwise(empty).alias("shapes"))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, item_at, item_raw, shape, possible): the items' windows with enough literal tokens.
+    """(item_id, n, rule, h, item_at, item_raw, item_shape, possible): the items' windows under both rules.
 
-    possible: how many windows of the item a document that holds it whole can match at this alignment.
+    Tiled: those of WINDOW tokens with enough literal ones; possible: how many windows of the item a document that
+    holds it whole can match at this alignment. Sliding: those of WINDOW collapsed tokens, or of all n of a shorter
+    item with enough literal ones. There an item counts twice, as its first word may be a name or only start a sentence.
     """
     from pyspark.sql import Window
 
-    shaped = _windows(benchmark.where("item_id is not null"), "item_id", 1).withColumn("shape", template(F.col("raw"))).distinct()
-    literal = F.size(F.filter(F.split("shape", " "), lambda x: ~x.startswith("<")))
-    kept = shaped.where(literal >= MIN_LITERAL)
-    aligned = Window.partitionBy("item_id", F.pmod(F.col("at"), F.lit(WINDOW)))
-    return kept.select("item_id", F.col("at").alias("item_at"), F.col("raw").alias("item_raw"), "shape", F.count(F.lit(1)).over(aligned).alias("possible"))
+    texts = benchmark.where("item_id is not null").select("item_id", F.col("text").cast("string").alias("text"))
+    read = _read(texts, "item_id").distinct()
+    inside = read.select("item_id", F.transform("t", lambda x, i: F.when(i == 0, F.replace(x, F.lit("_"), F.lit(""))).otherwise(x)).alias("t")).where(F.get("t", F.lit(0)).rlike("^\\p{Lu}"))
+    inside = inside.select("*", _glued(F.col("t")).alias("glued")).select("item_id", F.split("glued", " ").alias("runs"), F.split(_collapsed(F.col("glued")), " ").alias("shapes"))
+    tiled = read.select("item_id", F.size("t").alias("n"), F.lit(0).alias("variant"), F.lit(TILED).alias("rule"), F.explode(_cut(F.col("t"), F.col("kinds"), TILED, WINDOW, 1, F.size("t") - (WINDOW - 1))).alias("w"))
+    both = read.select("item_id", F.lit(0).alias("variant"), "runs", "shapes").unionByName(inside.select("item_id", F.lit(1).alias("variant"), "runs", "shapes"))
+    size = F.least(F.size("runs"), F.lit(WINDOW))
+    slid = both.select("item_id", F.size("runs").alias("n"), "variant", F.lit(SLIDING).alias("rule"), F.explode(_cut(F.col("runs"), F.col("shapes"), SLIDING, size, 1, F.size("runs") - size + 1)).alias("w"))
+    literal = F.size(F.filter("item_shape", lambda x: ~x.startswith("<")))
+    found = tiled.unionByName(slid).select("item_id", "n", "variant", "rule", "w.h", F.col("w.at").alias("item_at"), F.col("w.raw").alias("item_raw"), _shape(F.col("rule"), F.col("w.raw")).alias("item_shape")).where(literal >= MIN_LITERAL).distinct()
+    aligned = Window.partitionBy("item_id", "rule", "variant", F.pmod(F.col("item_at"), F.lit(WINDOW)))
+    return found.withColumn("possible", F.count(F.lit(1)).over(aligned))
+
+
+def _met(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Windows of documents with the item windows of the same template."""
+    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    items = item_windows(benchmark)
+    short = [r.k for r in items.where(F.col("rule") == SLIDING).select(F.size("item_shape").alias("k")).distinct().collect() if r.k < WINDOW]
+    t, runs = F.size("t"), F.size("runs")
+    made = [_cut(F.col("t"), F.col("kinds"), TILED, WINDOW, WINDOW, t - (WINDOW - 1))]
+    made += [_cut(F.col("runs"), F.col("shapes"), SLIDING, k, 1, runs - (k - 1)) for k in (WINDOW, *short)]
+    rows = _read(documents, "doc_id").select("doc_id", F.explode_outer(F.concat(*made)).alias("w"))  # outer: plain explode would have the array made twice, to test its size
+    mine = rows.select("doc_id", F.col("w.h").alias("h"), "w.at", "w.raw")
+    same = F.array_contains(F.array("item_shape"), _shape(F.col("rule"), F.col("raw")))  # not =, so that the hash alone is the join's key
+    return mine.join(F.broadcast(items) if size <= BROADCAST_CHARS else items, "h").where(same).withColumn("shift", F.col("at") - F.col("item_at"))
+
+
+def _consistent(slots: str) -> Column:
+    """Whether every slot value of the item has a single value in the document."""
+    values = F.array_distinct(slots)
+    return F.size(values) == F.size(F.array_distinct(F.transform(values, lambda x: x["item"])))
 
 
 def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, n_slots): the items that each document holds, re-parameterised or not.
 
-    Documents are cut into windows of WINDOW tokens that tile them, items into windows at every token;
-    both become templates, and their 64-bit hashes and templates are joined. A document holds an item
-    if at one alignment at least MIN_WINDOWS windows match, which are at least COVERAGE of those
-    possible there, and every slot value of the item has a single value in the document (n_slots: placeholders
-    compared). So a passage of 2 * WINDOW - 1 tokens or more always meets a window; shorter items, and items
-    almost without literal tokens, can't be found. Of several alignments the best counts.
+    Texts become templates; windows of WINDOW tokens are joined by 64-bit hash and template. Two rules find pairs:
+
+    Tiled: document windows tile it, item windows start at every token. At one alignment at least MIN_WINDOWS windows
+    match, which are at least COVERAGE of those possible there (coverage). By it a passage of 3 * WINDOW - 1 tokens is
+    found at every alignment, one of 2 * WINDOW at one alignment of WINDOW.
+
+    Sliding: runs of placeholders count as one token, and windows start at every token of both. Matched windows cover at
+    least COVERAGE of the item's n tokens (coverage), and at least 2 * WINDOW - 1 of them or all but one; items of up to
+    WINDOW tokens match whole. They lie on one diagonal, or for items of 2 * WINDOW tokens or more on diagonals at most
+    DRIFT apart, so tokens more or less inside the passage don't lose it. It gives the pairs that the tiled rule misses.
+
+    In both every slot value of the item has a single value in the document (n_slots: placeholders compared; sliding
+    leaves out the item's first and last token, whose run may go on outside). Of several alignments the best counts.
+    An item with fewer than MIN_LITERAL literal tokens can't be found.
 
     Null and empty texts hold nothing, null ids of documents form rows with a null doc_id, null item ids are
     left out, repeated rows give the pair once, empty tables give no rows, other columns are not read.
     """
-    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    items = item_windows(benchmark).withColumn("h", F.xxhash64("shape"))
-    mine = _windows(documents, "doc_id", WINDOW).withColumn("own", template(F.col("raw"))).withColumn("h", F.xxhash64("own"))
-    met = mine.join(F.broadcast(items) if size <= BROADCAST_CHARS else items, "h").where("own = shape")
-    slots = F.filter(F.arrays_zip("item_raw", "raw", F.split("shape", " ").alias("kind")), lambda x: x["kind"].startswith("<"))
-    pairs = F.transform(slots, lambda x: F.struct(x["item_raw"].alias("item"), x["raw"].alias("own")))
-    rows = met.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "at", "possible", pairs.alias("slots")).dropDuplicates(["doc_id", "item_id", "shift", "at"])
-    lined = rows.groupBy("doc_id", "item_id", "shift").agg(F.count(F.lit(1)).alias("n_windows"), F.first("possible").alias("possible"), F.flatten(F.collect_list("slots")).alias("slots"))
-    values = F.array_distinct("slots")
-    consistent = F.size(values) == F.size(F.array_distinct(F.transform(values, lambda x: x["item"])))
-    coverage = F.col("n_windows") / F.col("possible")
-    held = lined.where(consistent & (F.col("n_windows") >= MIN_WINDOWS) & (coverage >= COVERAGE))
-    best = F.max(F.struct("n_windows", F.round(coverage, 6).alias("coverage"), F.size("slots").cast("bigint").alias("n_slots"))).alias("b")
-    return held.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
+    slots = F.filter(
+        F.transform("item_shape", lambda k, i: F.struct(k.alias("kind"), (F.col("item_at") + i).alias("place"), F.get("item_raw", i).alias("item"), F.get("raw", i).alias("own"))),
+        lambda x: x["kind"].startswith("<") & ((F.col("rule") == TILED) | ((x["place"] > 1) & (x["place"] < F.col("n")))),
+    )
+    pairs = F.transform(slots, lambda x: F.struct(x["item"].alias("item"), x["own"].alias("own")))
+    bands = F.array(F.struct(F.lit(0).alias("band"), F.col("shift").cast("bigint").alias("line")), *(F.struct(F.lit(k).alias("band"), F.floor((F.col("shift") + (k - 1) * DRIFT) / (2 * DRIFT)).alias("line")) for k in (1, 2)))
+    bands = F.slice(bands, 1, F.when((F.col("rule") == SLIDING) & (F.col("n") >= 2 * WINDOW), 3).otherwise(1))
+    rows = _met(documents, benchmark).select("doc_id", "item_id", "rule", "variant", "n", "shift", "at", "item_at", "possible", F.size("item_shape").alias("k"), pairs.alias("slots"), bands.alias("bands")).dropDuplicates(["doc_id", "item_id", "rule", "variant", "shift", "at", "k"])
+    rows = rows.withColumn("b", F.explode("bands"))
+    places = F.when(F.col("rule") == SLIDING, F.sequence("item_at", F.col("item_at") + F.col("k") - 1)).otherwise(F.array().cast("array<int>"))
+    lined = rows.groupBy("doc_id", "item_id", "rule", "variant", "n", "b").agg(
+        F.count(F.lit(1)).alias("n_windows"), F.first("possible").alias("possible"), F.flatten(F.collect_list("slots")).alias("slots"), F.size(F.array_distinct(F.flatten(F.collect_list(places)))).alias("covered")
+    )
+    coverage = F.when(F.col("rule") == TILED, F.col("n_windows") / F.col("possible")).otherwise(F.col("covered") / F.col("n"))
+    enough = F.when(F.col("rule") == TILED, F.col("n_windows") >= MIN_WINDOWS).otherwise(F.col("covered") >= F.least(F.lit(2 * WINDOW - 1), F.greatest(F.col("n") - 1, F.least(F.col("n"), F.lit(WINDOW)))))
+    held = lined.where(_consistent("slots") & enough & (coverage >= COVERAGE))
+    best = F.max(F.struct((-F.col("rule")).alias("rule"), "n_windows", F.round(coverage, 6).alias("coverage"), F.size("slots").cast("bigint").alias("n_slots"))).alias("b")
+    return held.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.n_windows", "b.coverage", "b.n_slots")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

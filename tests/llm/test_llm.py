@@ -173,6 +173,31 @@ def test_leaks_planted(spark):
     assert holds and holds <= got and len(got - holds) <= 0.1 * len(holds) + 2
 
 
+PLAIN = "she walked along the old river until it reached the sea near their small village again".split()
+
+
+def test_short_items_at_every_alignment(spark):
+    items = {n: " ".join(PLAIN[:n]) for n in range(4, 16)}
+    items |= {50: "Alice has 3 apples", 51: "Bob Stone paid 20 dollars to Eve Miller and 35 euros to Tom Baker on 12 May 2020"}
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    rows = [(100 * i + k, " ".join([*(["filler"] * k), "so", t, "then it ends"])) for i, t in items.items() for k in range(5)]
+    rows += [(9001, "so " + items[51].replace("Bob Stone", "Mary Ann Lee").replace("35", "41") + " it was"), (9002, items[50].replace("3", "7"))]
+    got = {(r.doc_id, r.item_id) for r in decontamination.matches(docs(spark, rows), bench).collect()}
+    assert {(100 * i + k, i) for i in items for k in range(5)} <= got and {(9001, 51), (9002, 50)} <= got
+    assert not {d for d, i in got if i >= 50} - {d for d, _ in rows if d >= 5000}
+
+
+def test_a_token_more_or_less_inside(spark):
+    bench = spark.createDataFrame([(1, " ".join(PLAIN[:15]))], "item_id bigint, text string")
+    rows = []
+    for k in range(5):
+        for at in range(1, 15):
+            for more, less in ((["really"], 0), ([], 1)):
+                rows.append((len(rows), " ".join(["filler"] * k + PLAIN[:at] + more + PLAIN[at + less : 15] + ["and", "so", "on"])))
+    got = {r.doc_id for r in decontamination.matches(docs(spark, rows), bench).collect()}
+    assert got == set(range(len(rows)))
+
+
 # -- 4: media
 
 
