@@ -14,6 +14,8 @@ from .common import Saved, lean, mix64, pieces, table, tidied
 
 #: Words of a shingle, and the least similarity of a link as a fraction.
 WORDS, LEAST = 4, (85, 100)
+#: The same for the pipeline's stage: what counts as a near copy there.
+STAGE_WORDS, STAGE_LEAST = 5, (80, 100)
 #: Cells of the table of counts that orders the shingles: rare cells first. Its size never depends on the input.
 CELLS = 1 << 20
 _PARTS = 16
@@ -427,6 +429,6 @@ SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id FROM n JOIN r USING
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id. Rows without doc_id stay."""
-    gone = ngram_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    """One document of each group of near copies (STAGE_WORDS, STAGE_LEAST): the one with the smallest doc_id. Rows without doc_id stay."""
+    gone = ngram_components(docs, words=STAGE_WORDS, least=STAGE_LEAST).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

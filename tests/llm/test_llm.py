@@ -423,6 +423,35 @@ def test_components_odd_rows(spark):
     assert ngram_join.ngram_components(docs(spark, [])).count() == 0
 
 
+def test_stage_takes_five_words_and_four_fifths(spark):
+    rng = random.Random(5)
+    rows = []
+    for f, (size, edits) in enumerate([(1000, 21), (1000, 22), (1000, 30), (300, 5), (300, 9), (60, 1), (60, 2), (3, 0), (3, 1), (4, 0)]):
+        base = [f"f{f}w{k}" for k in range(size)]
+        for n in range(4):
+            text = list(base)
+            for at in range(n % 3, n % 3 + edits * (size // max(edits, 1)) * (n > 0), size // max(edits, 1)):
+                text[at] = f"e{rng.randrange(10**9)}"
+            rows.append((10 * f + n, " ".join(text)))
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))}
+
+    sets = {i: shingles(t) for i, t in rows}
+    up = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    up[a] = up[b] = min(up[a], up[b])
+    want = {i for i in sets if up[i] == i}
+    got = {r.doc_id for r in ngram_join.stage(spark, docs(spark, [*rows, (None, rows[0][1])]), "").collect()}
+    assert got == want | {None}
+    contract = {r.doc_id for r in ngram_join.ngram_components(docs(spark, rows)).where("component_id = doc_id").collect()}
+    assert contract == {i for i, (_, c) in brute_components(rows).items() if c == i} != want
+
+
 # -- 10: licences
 
 
