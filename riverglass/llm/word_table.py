@@ -11,6 +11,8 @@ import unicodedata
 #: (U+0130 isn't among them: lower-cased it is two characters.)
 _PLAIN = [*map(chr, range(0x130)), *map(chr, range(0x131, 0x300)), *map(chr, range(0x2010, 0x2028)), "€"]
 _NOT_PLAIN = re.compile("[^\x00-\u012f\u0131-\u02ff\u2010-\u2027\u20ac]")
+#: Between a word and one space before another: there all pre-tokenizers cut, whatever the characters are.
+_CHUNKS = re.compile(r"(?<=\S)(?= \S)")
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0"
 
 
@@ -33,8 +35,8 @@ _ANY_CASE = "'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]"  # the same
 class WordTable:
     """The words of texts and their ids by a tokenizers file, each distinct word encoded once.
 
-    A text of plain characters is split by a regular expression; any other text is one entry of its own
-    that the library splits itself. Strings of special tokens become their ids, as the library does. The
+    A text of plain characters is split by a regular expression. Any other is cut at single spaces; its plain
+    parts are split likewise, the others by the library's own normalizer and pre-tokenizer. Strings of special tokens become their ids, as the library does. The
     table is emptied once it holds most words, so its memory is bounded whatever the documents are.
     """
 
@@ -46,7 +48,7 @@ class WordTable:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.most, self.table = most, {}
+        self.most, self.table, self.parts = most, {}, {}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.drops_space = self.tokenizer.normalizer is not None
         body = rf"[{_L}]+|{_ANY_CASE}|[{_N}]|[^{_S}{_L}{_N}]+" if self.drops_space else rf" ?[{_L}]+|{_ENDINGS}| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
@@ -59,10 +61,44 @@ class WordTable:
         """The text's words; joined they give the text, but for white space at its end where that is dropped."""
         if self._special is None or not self._special.search(text):
             return self._plain_words(text)
-        return [w for part in self._special.split(text) for w in ([part] if part in self.special else self._plain_words(part))]
+        out, parts = [], self._special.split(text)
+        for k, part in enumerate(parts):
+            own = [part] if part in self.special else self._plain_words(part)
+            rest = part[sum(map(len, own)) :] if k + 1 < len(parts) else ""
+            out += [*own[:-1], own[-1] + rest] if own else [rest] * bool(rest)  # white space before a special token counts as characters
+        return out
 
     def _plain_words(self, text: str) -> list[str]:
-        return self._words(text) if self.plain(text) else [text] if text else []
+        if self.plain(text):
+            return self._words(text)
+        return [w for c in _CHUNKS.split(text) if c for w in (self._words(c) if self.plain(c) else self._library_words(c))]
+
+    def _library_words(self, text: str) -> list[str]:
+        """The words that the library's normalizer and pre-tokenizer find; the text whole if they don't encode alone to its ids."""
+        if text not in self.parts:
+            if len(self.parts) > self.most // 10:
+                self.parts.clear()
+            self.parts[text] = self._split(text)
+        return self.parts[text]
+
+    def _split(self, text: str) -> list[str]:
+        from tokenizers import PreTokenizedString
+
+        seen = PreTokenizedString(text)
+        if self.tokenizer.normalizer is not None:
+            seen.normalize(self.tokenizer.normalizer.normalize)
+        self.tokenizer.pre_tokenizer.pre_tokenize(seen)
+        words, at = [], 0
+        found = [span for _, span, _ in seen.get_splits(offset_referential="original", offset_type="char")]
+        for k, (_, end) in enumerate(found):
+            #: No cut inside what one character became, nor before what the normalizer may join to the character before it.
+            if end <= at or (k + 1 < len(found) and (found[k + 1][0] < end or unicodedata.combining(text[end]) or "\u1160" <= text[end] <= "\u11ff")):
+                continue
+            words.append(text[at:end])
+            at = end
+        words += [text[at:]] if text[at:] and not (self.drops_space and text[at:].isspace()) else []
+        whole, *parts = self.tokenizer.encode_batch_fast([text, *words], add_special_tokens=False)
+        return words if whole.ids == [i for p in parts for i in p.ids] else [text]
 
     def ids(self, texts_words: list[list[str]]) -> dict[str, bytes]:
         """The table, now with each of the words: its ids as little-endian unsigned 32-bit numbers."""

@@ -299,6 +299,38 @@ def test_encode_and_decode_agree_with_the_library(spark):
     assert bpe.decode(bpe.encode(docs(spark, []), path), path).count() == 0
 
 
+FOREIGN = ["Ένα μικρό χωριό, ΣΑΣ δίπλα στη θάλασσα.", "Маленькая деревня у моря; 12 домов!", "小さな村は海のそばに、あります。人々は魚を売る。", "plain words 🙂→ and ❤️ arrows", "e\u0301le\u0300ve x\u0323\u0301 İstanbul ñandú", "한국어 각 \u1100\u1161\u11a8 말", "नमस्ते दुनिया  كتاب\u00a0جديد"]
+
+
+def test_foreign_texts_have_every_word_end(spark):
+    path = P.path("word_bpe_49k.json")
+    tok, inside = tokenizers.Tokenizer.from_file(path), token_counts.InsideWord(path)
+    size = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    rows = [(k, t) for k, t in enumerate(FOREIGN)] + [(100 + k, " ".join([t] * 300)) for k, t in enumerate(FOREIGN)]
+    counted = token_counts.prefix_counts(docs(spark, rows), path)
+    for r, (_, text) in zip(rows_of(counted), rows, strict=True):
+        assert r.n_tokens == size(text) and len(r.ends) >= len(text.split())
+        assert all(size(text[:e]) == n for e, n in list(zip(r.ends, r.counts, strict=True))[:40])
+        for at in range(min(len(text), 60) + 1):
+            assert token_counts.count_at(text, r.ends, r.counts, at, inside) == size(text[:at]), text[:at]
+    for r, (doc, text) in zip(rows_of(token_counts.truncated(docs(spark, rows), counted, 2048)), rows, strict=True):
+        assert text.startswith(r.text) and size(r.text) <= 2048 and (r.text == text or size(r.text) > 1980)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_of_foreign_characters(name):
+    from riverglass.llm.word_table import WordTable
+
+    table, tok = WordTable(P.path(name)), tokenizers.Tokenizer.from_file(P.path(name))
+    rng = random.Random(3)
+    texts = FOREIGN + ["".join(rng.choice("ab 1'  \n\tsé🙂→ΣςщЖ中文。\u0301\u0323\u0327İ\u1100\u1161\u11a8\u00a0\u3000\u200d\ufe0fक्") for _ in range(30)) for _ in range(3000)]
+    words = [table.words(t) for t in texts]
+    known = table.ids(words)
+    for t, w in zip(texts, words, strict=True):
+        assert b"".join(known[x] for x in w) == b"".join(i.to_bytes(4, "little") for i in tok.encode(t, add_special_tokens=False).ids), repr(t)
+        assert t.startswith("".join(w))
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_words_of_all_plain_characters(name):
     from riverglass.llm.word_table import _PLAIN, WordTable
