@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -73,7 +74,7 @@ class Scanner:
     """Templates by their bigrams. Size bounds: Dice >= t needs a template of t/(2-t) to (2-t)/t times the passage's bigrams."""
 
     def __init__(self, templates: dict[str, tuple[str, ...]], least: Fraction):
-        self.least, self.templates, self.by_bigram = least, [], defaultdict(list)
+        self.least, self.templates, self.sequences, self.by_bigram = least, [], [], defaultdict(list)
         for name, texts in sorted(templates.items()):
             for k, text in enumerate(texts):
                 grams = bigrams(words_of(text))
@@ -81,6 +82,7 @@ class Scanner:
                     for g in grams:
                         self.by_bigram[g].append(len(self.templates))
                     self.templates.append((name, k, len(grams)))
+                    self.sequences.append((len(words_of(text)), grams))
         self.ratio = least / (2 - least)
         sizes = [n for *_, n in self.templates]
         self.smallest, self.largest = (min(sizes), max(sizes)) if sizes else (1, 0)
@@ -104,6 +106,38 @@ class Scanner:
         return sorted(out, key=lambda m: (-m[2], m[0], m[1]))[:1]
 
 
+    def windows(self, words: list[str]) -> list[tuple[str, int, Fraction]]:
+        """(licence, first word, Dice) of windows with as many words as a template. Of windows that overlap only the nearest counts.
+
+        Dice >= t needs ratio * size shared bigrams, of which the edges give two: that many must be in the text, and in the window.
+        """
+        pairs = list(zip(words, words[1:], strict=False))
+        shared: dict[int, int] = defaultdict(int)
+        for g in self.by_bigram.keys() & set(pairs):
+            for k in self.by_bigram[g]:
+                shared[k] += 1
+        found = []
+        for k, n in shared.items():
+            (name, number, size), (length, grams) = self.templates[k], self.sequences[k]
+            need = self.ratio * size - 2
+            if n < need or length > len(words):
+                continue
+            hits = [0, *itertools.accumulate(p in grams for p in pairs)]
+            for at in range(len(words) - length + 1):
+                if hits[at + length - 1] - hits[at] >= need:
+                    own = bigrams(words[at : at + length])
+                    dice = Fraction(2 * len(own & grams), len(own) + size)
+                    if dice >= self.least:
+                        found.append((-dice, name, number, at, at + length))
+        taken: list[tuple[str, int, Fraction]] = []
+        free = [True] * len(words)
+        for dice, name, _, at, end in sorted(found):
+            if all(free[at:end]):
+                free[at:end] = [False] * (end - at)
+                taken.append((name, at, -dice))
+        return sorted(taken, key=lambda m: (m[1], m[0]))
+
+
 def passages(text: str | None) -> Iterator[tuple[str, int, str]]:
     """(kind, number, passage): lines, paragraphs of several lines between blank ones, and the whole text if it has several paragraphs."""
     text = text or ""
@@ -119,7 +153,9 @@ def scan(documents: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES
     """(doc_id, license, restricted, dice, kind, number, n_matches): the licences that each document names.
 
     Every line, every paragraph and the whole text are compared, normalised to lower-cased words, with each
-    template that the size bounds leave; of a document's matches with a licence the best one is told: the
+    template that the size bounds leave. Licences that none of them names are looked for in windows of the text's
+    words, each as long as a template (kind "window", number: its first word), so a notice inside a longer line or
+    wrapped in a comment is found; of a document's matches with a licence the best one is told: the
     highest Dice coefficient, then line before paragraph before text, then the first. The templates go to the
     workers with the function; their number is fixed.
 
@@ -140,6 +176,12 @@ def scan(documents: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES
                             count[name] += 1
                             if name not in best or dice > best[name][0]:
                                 best[name] = (dice, order, kind, number)
+                    named = set(best)
+                    for name, number, dice in scanner.windows(words_of(text or "")):
+                        if name not in named:
+                            count[name] += 1
+                            if name not in best or dice > best[name][0]:
+                                best[name] = (dice, 0, "window", number)
                     out += [(doc, name, name in RESTRICTED, round(float(d), 6), kind, number, count[name]) for name, (d, _, kind, number) in sorted(best.items())]
                 cols = list(zip(*out, strict=True)) or [[]] * 7
                 kinds = (pa.int64(), pa.string(), pa.bool_(), pa.float64(), pa.string(), pa.int64(), pa.int64())

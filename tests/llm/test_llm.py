@@ -525,6 +525,24 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_notices_inside_longer_passages(spark):
+    gpl = licenses.TEMPLATES["GPL-3.0"][-1].split()
+    comment = "/*\n * x.c - a file.\n *\n" + "\n".join(" * " + " ".join(gpl[k : k + 10]) for k in range(0, len(gpl), 10)) + "\n *\n * You should have received a copy of it, with this program.\n */\nint main() { return 0; }"
+    rows = [
+        (1, "Copyright (c) 2020 Example Inc. All rights reserved."),
+        (2, "This package is released under the MIT License; see LICENSE for details."),
+        (3, "This project is licensed under the MIT License - see the LICENSE file for details"),
+        (4, comment),
+        (5, "We read that the work is licensed under CC BY-SA 4.0. and that was all we read of it on that day"),
+        (6, "All the rights that he had reserved were taken away, under the terms of the general public and in the public domain."),
+        (7, "so all rights reserved and then all rights reserved again"),
+        (8, None),
+    ]
+    got = {(r.doc_id, r.license): (r.dice, r.kind, r.number, r.n_matches) for r in licenses.scan(docs(spark, rows)).collect()}
+    assert set(got) == {(1, "Proprietary"), (2, "MIT"), (3, "MIT"), (4, "GPL-3.0"), (5, "CC-BY-SA-4.0"), (7, "Proprietary")}
+    assert got[1, "Proprietary"] == (1.0, "window", 5, 1) and got[2, "MIT"] == (1.0, "window", 3, 1) and got[7, "Proprietary"] == (1.0, "window", 1, 2)
+
+
 # -- the pipeline
 
 
