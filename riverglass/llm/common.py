@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters of the contracts: [\x20\x09-\x0D].
 WS = " \t\n\x0b\x0c\r"
@@ -64,6 +65,36 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return Saved(df, tag).df
 
 
+def aside(docs: DataFrame, own: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, dict[str, str]]:
+    """docs with every column but its own under a name that no operator adds, and those names with the old ones, in order."""
+    hidden = {c if c in own else f"__aside_{k}": c for k, c in enumerate(docs.columns)}
+    return docs.toDF(*hidden), hidden
+
+
+def restored(out: DataFrame, hidden: dict[str, str]) -> list[Column]:
+    """The columns that aside() put away, by their old names."""
+    return [out[h].alias(c) for h, c in hidden.items()]
+
+
+def carried(carry: tuple[str, ...], own: tuple[str, ...]) -> dict[str, str]:
+    """What carried columns are called in an operator's result: their own names, with a _ after one that the operator adds itself."""
+    return {f"__{c}": c if c not in own else f"{c}_" for c in carry}
+
+
+#: Document ids that are broadcast at most: 8 bytes each.
+BROADCAST_IDS = 4_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The docs whose doc_id isn't among gone (distinct doc_ids), in their own columns; rows without doc_id stay.
+
+    Up to BROADCAST_IDS the ids go to the documents; more of them meet the documents in a shuffle.
+    """
+    table = Saved(gone.select(F.col("doc_id").alias("__gone")), "gone-ids").df
+    few = table.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(table) if few else table, docs.doc_id == table["__gone"], "left_anti").select(*(docs[c] for c in docs.columns))
+
+
 def lean(df: DataFrame) -> DataFrame:
     """The same rows; their session sends batches of at most BATCH_BYTES to Python, unless it sets a size of its own."""
     key, usual = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB", "64m")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, Saved, lean, mix64, pieces, table, tidied
+from .common import WS, Saved, aside, carried, lean, mix64, pieces, restored, table, tidied
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Keys in a shard of the index: what one task builds and one cogroup loads.
@@ -230,7 +230,8 @@ def dedup_lines(documents: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: i
     code points in at least min_docs documents lose all their lines but those in the largest doc_id that
     holds the key. Null or empty text: one empty line, kept. A repeated row counts as a document of its own,
     and all rows of the largest doc_id keep the line; a row without doc_id counts but never keeps a line
-    that a row with one holds. Empty tables give no rows; other columns than those in carry are not read.
+    that a row with one holds. Empty tables give no rows; other columns than those in carry are not read,
+    and a carried one of a name that is added here gets a _ after it.
     """
     spark = documents.sparkSession
     kinds = dict(documents.dtypes)
@@ -238,7 +239,7 @@ def dedup_lines(documents: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: i
     lines, shards, n_shards = line_index(documents, min_chars=min_chars, min_docs=min_docs)
     docs = lean(documents).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", *(f"`{c}` as `__{c}`" for c in carry))
     rest = lambda b: {f"__{c}": b.column(f"__{c}") for c in carry}
-    names = lambda df: df.withColumnsRenamed({f"__{c}": c for c in carry})
+    names = lambda df: df.withColumnsRenamed(carried(carry, ("doc_id", "n_lines", "n_dropped", "text")))
     if (shards.agg(F.sum(F.length("blob"))).first()[0] or 0) <= broadcast_bytes:
         blobs = spark.sparkContext.broadcast({r.shard: bytes(r.blob) for r in shards.collect()})  # at most broadcast_bytes
 
@@ -310,8 +311,8 @@ FROM f GROUP BY doc_id
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their repeated lines gone; all rows and other columns stay."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = dedup_lines(docs, carry=others)
-    if "n_chars" in others:
-        out = out.withColumn("n_chars", F.length("text").cast("bigint"))
-    return out.select(*docs.columns)
+    rows, hidden = aside(docs)
+    out = dedup_lines(rows, carry=tuple(h for h in hidden if h not in ("doc_id", "text")))
+    if size := next((h for h, c in hidden.items() if c == "n_chars"), None):
+        out = out.withColumn(size, F.length("text").cast("bigint"))
+    return out.select(*restored(out, hidden))
