@@ -11,9 +11,11 @@ import unicodedata
 #: (U+0130 isn't among them: lower-cased it is two characters.)
 _PLAIN = [*map(chr, range(0x130)), *map(chr, range(0x131, 0x300)), *map(chr, range(0x2010, 0x2028)), "€"]
 _NOT_PLAIN = re.compile("[^\x00-\u012f\u0131-\u02ff\u2010-\u2027\u20ac]")
-#: Between a word and one space before another: there all pre-tokenizers cut, whatever the characters are.
-_CHUNKS = re.compile(r"(?<=\S)(?= \S)")
+#: White space as the libraries see it; the first line are those among the plain characters.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0"
+_WHITE = _SPACE + "\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Where all pre-tokenizers cut whatever the characters are: before a space in front of a word, and around other white space.
+_CHUNKS = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]").findall
 
 
 def _ranges(chars: list[str]) -> str:
@@ -33,14 +35,17 @@ _ANY_CASE = "'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]"  # the same
 
 
 class WordTable:
-    """The words of texts and their ids by a tokenizers file, each distinct word encoded once.
+    """The words of texts and their ids by a tokenizers file, each distinct one encoded once.
 
-    A text of plain characters is split by a regular expression. Any other is cut at single spaces; its plain
-    parts are split likewise, the others by the library's own normalizer and pre-tokenizer. Strings of special tokens become their ids, as the library does. The
-    table is emptied once it holds most words, so its memory is bounded whatever the documents are.
+    A text is cut into chunks at white space; a chunk's ids don't depend on what stands around it. Strings of
+    special tokens are chunks of their own and become their ids, as the library does. Chunks of plain characters
+    are split into words by a regular expression, others by the library's own normalizer and pre-tokenizer.
+
+    Encodings are kept in a table: those given stay; others go once there are more than most of them or their
+    strings hold most_bytes, so memory is bounded whatever the documents are.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, given: dict[str, bytes] | None = None, most: int = 200_000, most_bytes: int = 16 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -48,7 +53,8 @@ class WordTable:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.most, self.table, self.parts = most, {}, {}
+        self.given, self.most, self.most_bytes = given or {}, most, most_bytes
+        self.table, self.held = dict(self.given), 0
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.drops_space = self.tokenizer.normalizer is not None
         body = rf"[{_L}]+|{_ANY_CASE}|[{_N}]|[^{_S}{_L}{_N}]+" if self.drops_space else rf" ?[{_L}]+|{_ENDINGS}| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
@@ -57,30 +63,29 @@ class WordTable:
     def plain(self, text: str) -> bool:
         return text.isascii() or (not _NOT_PLAIN.search(text) and (not self.drops_space or unicodedata.is_normalized("NFC", text)))
 
+    def chunks(self, text: str) -> list[str]:
+        """The text in pieces whose ids, joined, are the text's."""
+        if not any(map(text.__contains__, self.special)):
+            return _CHUNKS(text)
+        return [c for part in self._special.split(text) if part for c in ((part,) if part in self.special else _CHUNKS(part))]
+
+    def words_of(self, chunk: str) -> list[str]:
+        """The words of one chunk; none where the chunk is white space that is dropped."""
+        if chunk in self.special:
+            return [chunk]
+        return self._words(chunk) if self.plain(chunk) else self._split(chunk)
+
     def words(self, text: str) -> list[str]:
         """The text's words; joined they give the text, but for white space at its end where that is dropped."""
-        if self._special is None or not self._special.search(text):
-            return self._plain_words(text)
-        out, parts = [], self._special.split(text)
-        for k, part in enumerate(parts):
-            own = [part] if part in self.special else self._plain_words(part)
-            rest = part[sum(map(len, own)) :] if k + 1 < len(parts) else ""
-            out += [*own[:-1], own[-1] + rest] if own else [rest] * bool(rest)  # white space before a special token counts as characters
+        out, before = [], ""
+        for chunk in self.chunks(text):
+            if own := self.words_of(chunk):
+                out += [before + own[0], *own[1:]]
+                before = ""
+            else:
+                before += chunk
         return out
 
-    def _plain_words(self, text: str) -> list[str]:
-        if self.plain(text):
-            return self._words(text)
-        return [w for c in _CHUNKS.split(text) if c for w in (self._words(c) if self.plain(c) else self._library_words(c))]
-
-    def _library_words(self, text: str) -> list[str]:
-        """The words that the library's normalizer and pre-tokenizer find; the text whole if they don't encode alone to its ids."""
-        if text not in self.parts:
-            if len(self.parts) > self.most // 10:
-                self.parts.clear()
-            self.parts[text] = self._split(text)
-        return self.parts[text]
-
     def _split(self, text: str) -> list[str]:
         from tokenizers import PreTokenizedString
 
@@ -96,20 +101,21 @@ class WordTable:
                 continue
             words.append(text[at:end])
             at = end
-        words += [text[at:]] if text[at:] and not (self.drops_space and text[at:].isspace()) else []
+        words += [text[at:]] if text[at:] and not (self.drops_space and not found) else []
         whole, *parts = self.tokenizer.encode_batch_fast([text, *words], add_special_tokens=False)
         return words if whole.ids == [i for p in parts for i in p.ids] else [text]
 
     def ids(self, texts_words: list[list[str]]) -> dict[str, bytes]:
-        """The table, now with each of the words: its ids as little-endian unsigned 32-bit numbers."""
-        if len(self.table) > self.most:
-            self.table.clear()
+        """The table, now with each of the words or chunks: its ids as little-endian unsigned 32-bit numbers."""
+        if len(self.table) > self.most + len(self.given) or self.held > self.most_bytes:
+            self.table, self.held = dict(self.given), 0
         table = self.table
         new = list(set().union(*texts_words).difference(table)) if texts_words else []
         for at in range(0, len(new), 4_096):
             some = new[at : at + 4_096]
             for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 table[word] = b"".join([i.to_bytes(4, "little") for i in found.ids])
+            self.held += sum(map(len, some))
         return table
 
 
