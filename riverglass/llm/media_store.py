@@ -69,7 +69,8 @@ class TarShard:
     """A tar file of members named by their digest; the same content is held once."""
 
     def __init__(self, folder: str):
-        self.uri = f"{folder}/shard-{uuid.uuid4().hex}.tar"  # each attempt of a task writes its own, and rows name the one written
+        name = uuid.uuid4().hex  # each attempt of a task writes its own, and rows name the one written
+        self.uri = f"{folder}/{name[:2]}/shard-{name}.tar"
         store, path = fs.FileSystem.from_uri(self.uri)
         store.create_dir(path.rpartition("/")[0], recursive=True)
         self.out, self.at, self.held = store.open_output_stream(path), 0, {}
@@ -98,9 +99,45 @@ def store_payloads(documents: DataFrame, folder: str, *, width: int = WIDTH, sha
 
     A text's payload is its UTF-8 bytes, padded with spaces to a positive multiple of width; null is empty.
     digest is the SHA-256 of the stored image, so equal texts have equal digests, and a shard stores equal
-    images once. Rows leave as their shard closes; a lost task's shard has no rows and its repeat writes
-    another. Null ids stay null, repeated rows keep a row each, an empty table writes no shard.
+    images once (one text in several tasks' documents is stored by each of them).
+
+    The shards are written now, once, with a manifest of the rows in folder/manifest; the result reads the
+    manifest, so every action on it sees the same shards. A lost or repeated task may leave a shard that no row
+    names: such shards are removed here, before the rows are given out. A folder takes one call: one that has a
+    manifest raises. Null ids stay null, repeated rows keep a row each, an empty table writes no shard.
     """
+    spark, manifest = documents.sparkSession, f"{folder}/manifest"
+    _written(documents, folder, width, shard_bytes).write.parquet(manifest)
+    rows = spark.read.schema(ROWS).parquet(manifest)
+    sweep(rows, folder)
+    return rows
+
+
+def sweep(manifest: DataFrame, folder: str) -> int:
+    """Removes the shards under folder that the manifest doesn't name, and says how many; listed and removed by tasks, a subfolder each."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n in b.column(0).to_pylist():
+                uri = f"{folder}/{n:02x}"
+                store, path = fs.FileSystem.from_uri(uri)
+                names = [x.base_name for x in store.get_file_info(fs.FileSelector(path, allow_not_found=True))]
+                yield pa.RecordBatch.from_arrays([pa.array([f"{uri}/{x}" for x in names], pa.string())], ["shard"])
+
+    def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uri in b.column(0).to_pylist():
+                store, path = fs.FileSystem.from_uri(uri)
+                store.delete_file(path)
+            yield b
+
+    spark = manifest.sparkSession
+    there = spark.range(0, 256, 1, 16).mapInArrow(listed, "shard string")
+    return there.join(manifest.select("shard").distinct(), "shard", "left_anti").mapInArrow(removed, "shard string").count()
+
+
+def _written(documents: DataFrame, folder: str, width: int, shard_bytes: int) -> DataFrame:
+    """The rows of store_payloads(), as its tasks write the shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, rows = None, []
@@ -184,7 +221,7 @@ def with_payload_digests(rows: DataFrame) -> DataFrame:
 
 
 def fetch(rows: DataFrame) -> list[bytes]:
-    """Payloads of a few rows, on the driver."""
+    """Payloads of a few rows, on the driver; the rows' order is that of collect()."""
     read = _Reader()
     return [decode_png(read(r.shard, r.offset, r.length)) for r in rows.select("shard", "offset", "length").collect()]
 
