@@ -57,9 +57,10 @@ class Trie:
             *whole, last = rule.path.split("/")
             for segment in whole:
                 node = node.setdefault(("p", segment), {})
-            ends = node.setdefault("ends", {})
-            if last not in ends or ends[last].rank < rule.rank:
-                ends[last] = rule
+            ends = node.setdefault("ends", {})  # by length, then by the characters: a look for each length there is
+            same = ends.setdefault(len(last), {})
+            if last not in same or same[last].rank < rule.rank:
+                same[last] = rule
 
     def find(self, host: str, path: str) -> Rule | None:
         best: Rule | None = None
@@ -69,8 +70,9 @@ class Trie:
         while node is not None:
             at = node
             for k, segment in enumerate(segments):
-                for last, rule in at.get("ends", {}).items():
-                    if segment.startswith(last) and (best is None or rule.rank > best.rank):
+                for n, same in at.get("ends", {}).items():
+                    rule = same.get(segment[:n]) if n <= len(segment) else None
+                    if rule is not None and (best is None or rule.rank > best.rank):
                         best = rule
                 if k == len(segments) - 1 or (at := at.get(("p", segment))) is None:
                     break
@@ -82,7 +84,7 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], *, id_co
     """(id, host, path, rule, verdict) of each row; rules are (host, path prefix, "allow" or "block").
 
     A rule fits its host and all subdomains where the path starts with its path. The longest wins: more
-    host labels, then the longer path, then block. The trie goes to the workers with the function; its
+    host labels, then the longer path, then block. The trie is built once and broadcast; its
     size is bounded by TRIE_CHARS, and a longer rule list takes one pass for each trie of that size.
 
     Null url, no "://", empty host: host and path are empty, and only a rule with an empty host and path
@@ -100,7 +102,7 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], *, id_co
     kind = dict(pages.dtypes)[id_col]
     out = lean(pages).selectExpr(f"`{id_col}`", f"cast(`{url_col}` as string) as `__url`", "cast(null as struct<host:string,path:string,verdict:string>) as `__best`")
     for block in blocks:
-        out = out.mapInArrow(tidied(_pass(block)), f"`{id_col}` {kind}, `__url` string, `__best` struct<host:string,path:string,verdict:string>")
+        out = out.mapInArrow(tidied(_pass(pages.sparkSession.sparkContext.broadcast(Trie(block)))), f"`{id_col}` {kind}, `__url` string, `__best` struct<host:string,path:string,verdict:string>")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,9 +122,9 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], *, id_co
     return out.mapInArrow(tidied(finish), f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
 
 
-def _pass(rules: list[Rule]):
+def _pass(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(rules)
+        trie = sent.value
         for b in batches:
             best = []
             for url, so_far in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
