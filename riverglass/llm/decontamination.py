@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, without
 
 #: Tokens in a window; an item's windows start at every token, a document's tile it under one rule and slide under the other.
 WINDOW = 5
@@ -206,4 +206,4 @@ SELECT doc_id, item_id, n AS n_windows, round(n / possible, 6) AS coverage, len(
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no item of the benchmark. Rows without doc_id stay."""
     found = matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, found)

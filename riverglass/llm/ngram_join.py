@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Saved, lean, mix64, pieces, table, tidied
+from .common import Saved, lean, mix64, pieces, table, tidied, without
 
 #: Words of a shingle, and the least similarity of a link as a fraction.
 WORDS, LEAST = 4, (85, 100)
@@ -23,6 +23,8 @@ _PARTS = 16
 SEEDS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Buckets of document ids by which the sets of candidates are read.
 BUCKETS = 1 << 20
+#: Bits for each shared token by which other tokens' rows are told, and bytes of them that are sent at most.
+BITS_A_TOKEN, BITS_BYTES = 16, 32 << 20
 #: Sets that share a token are paired directly up to so many; larger groups are compared by what sets them apart.
 LARGE = 48
 _MOST = 200_000
@@ -181,22 +183,51 @@ class Join:
         self.documents, self.least, self.words, self.large, self.temporary = documents, least, words, large, []
         self.levels = frequency_levels(documents, words)
         self.marks = self.save(_marks(documents, self.levels, least, words), "ngram-marks")
-        self.reps = self.save(self.marks.where("doc_id is not null and n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("v")), "ngram-classes")
+        marked = F.when(F.col("p1").isNotNull(), F.col("doc_id"))  # v stands for its class: the least of the documents whose prefixes are here
+        self.reps = self.save(self.marks.where("doc_id is not null and n > 0").groupBy("c1", "c2").agg(F.min(marked).alias("v"), F.min("doc_id").alias("least")), "ngram-classes")
 
     def save(self, df: DataFrame, tag: str) -> DataFrame:
         self.temporary.append(Saved(df, tag))
         return self.temporary[-1].df
 
     def postings(self) -> DataFrame:
-        """(token, v, n, pos) of the prefixes under the first order, of tokens that two documents share.
+        """(token, v, n, pos) of the prefixes under the first order, of tokens that two documents share."""
+        marked = self.marks.where("p1 is not null")
+        again = marked.select("doc_id", "c1", "c2").join(self.reps, ["c1", "c2"]).where("doc_id <> v").select("doc_id").distinct()  # a class that several tasks met
+        own = without(marked, self.save(again, "ngram-again")).select(F.col("doc_id").alias("v"), "n", "p1")
+        shared = own.select(F.explode("p1").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
+        shared = self.save(shared, "ngram-shared")
+        return self.near(own, shared).join(shared, "token", "left_semi")
+
+    def near(self, own: DataFrame, shared: DataFrame) -> DataFrame:
+        """(token, v, n, pos) of the prefixes: of all tokens that are shared, and few of the others.
 
-        Rows carry doc_ids, short numbers that compress, until only shared tokens are left.
+        A bit for each cell of hashes that holds a shared token tells most others where they are, so they aren't
+        shuffled. There are about BITS_A_TOKEN bits for each shared token, sent up to BITS_BYTES; else all rows go on.
         """
-        marked = self.marks.where("p1 is not null")
-        rows = marked.select(F.col("doc_id").alias("d"), "n", F.posexplode("p1").alias("pos", "token"))
-        shared = rows.groupBy("token").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select("token")
-        which = marked.select(F.col("doc_id").alias("d"), "c1", "c2").join(self.reps, ["c1", "c2"]).select("d", "v")
-        return rows.join(shared, "token", "left_semi").join(which, "d").select("token", "v", "n", "pos").distinct()
+        bits = 1 << max(10, int(shared.count() * BITS_A_TOKEN).bit_length())
+        if bits > 8 * BITS_BYTES:
+            return own.select("v", "n", F.posexplode("p1").alias("pos", "token")).select("token", "v", "n", "pos")
+        cell = shared.select(F.pmod("token", F.lit(bits)).alias("cell"))
+        words = cell.select(F.shiftright("cell", 6).alias("word"), F.expr("shiftleft(1L, cast(cell & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+        held = np.zeros(bits >> 6, np.int64)
+        for b in words.toArrow().to_batches():  # at most BITS_BYTES / 8 numbers
+            held[b.column(0).to_numpy()] = b.column(1).to_numpy()
+        sent = own.sparkSession.sparkContext.broadcast(held)
+
+        def probable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = sent.value
+            for batch in batches:
+                for b in pieces(batch):
+                    tokens = b.column("p1").flatten().to_numpy()
+                    many = np.diff(b.column("p1").offsets.to_numpy())
+                    row = np.repeat(np.arange(len(many)), many)
+                    cell = tokens & (bits - 1)
+                    at = np.flatnonzero((held[cell >> 6] >> (cell & 63)) & 1)
+                    first = (np.cumsum(many) - many)[row[at]]
+                    yield pa.RecordBatch.from_arrays([pa.array(tokens[at]), b.column("v").take(row[at]), b.column("n").take(row[at]), pa.array((at - first).astype(np.int32))], ["token", "v", "n", "pos"])
+
+        return own.mapInArrow(tidied(probable), "token bigint, v bigint, n bigint, pos int")
 
     def indexed(self, n: Column, pos: Column) -> Column:
         """Whether the smaller set of a linking pair must hold a shared token at such a place at the latest."""
@@ -212,16 +243,24 @@ class Join:
     def orders(self, pairs: DataFrame) -> DataFrame:
         """The pairs that share prefix tokens under every further order."""
         ids = pairs.selectExpr("explode(array(x, y)) v").distinct()
-        own = self.marks.where("p1 is not null").join(self.reps.join(ids, "v", "left_semi"), ["c1", "c2"]).select("v", "p2", "p3").dropDuplicates(["v"])
+        classes = self.reps.join(ids, "v", "left_semi")
+        bucket = F.pmod("c1", F.lit(BUCKETS))
+        wanted = classes.select(bucket.alias("bucket")).distinct()  # at most BUCKETS numbers
+        marked = self.marks.where("p1 is not null").select("c1", "c2", "p2", "p3", bucket.alias("bucket")).join(F.broadcast(wanted), "bucket", "left_semi")
+        own = marked.join(classes, ["c1", "c2"]).select("v", "p2", "p3").dropDuplicates(["v"])
         side = lambda c: own.select(F.col("v").alias(c), F.col("p2").alias(f"{c}2"), F.col("p3").alias(f"{c}3"))
         both = pairs.join(side("x"), "x").join(side("y"), "y")
         return both.where(F.arrays_overlap("x2", "y2") & F.arrays_overlap("x3", "y3")).select("x", "y")
 
-    def sets(self, ids: DataFrame) -> DataFrame:
-        """(v, s): the whole set of each v of ids, as sorted hashes."""
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """(v, text): the whole text of each v of ids; of several rows of one id, one."""
         bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
         wanted = ids.select(F.pmod(F.xxhash64("v"), F.lit(BUCKETS)).alias("bucket")).distinct()
-        texts = _texts(self.documents).where("doc_id is not null").withColumn("bucket", bucket).join(F.broadcast(wanted), "bucket", "left_semi").select("doc_id", "text")  # at most BUCKETS numbers
+        rows = _texts(self.documents).where("doc_id is not null").withColumn("bucket", bucket).join(F.broadcast(wanted), "bucket", "left_semi")  # at most BUCKETS numbers
+        return rows.select(F.col("doc_id").alias("v"), "text").join(ids, "v", "left_semi")
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(v, s): the whole set of each v of ids, as sorted hashes."""
         words = self.words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,27 +269,42 @@ class Join:
                 for p in pieces(batch):
                     yield pa.RecordBatch.from_arrays([p.column(0), pa.array([shingler.of(t).tobytes() for t in p.column(1).to_pylist()], pa.binary())], ["v", "s"])
 
-        return texts.mapInArrow(tidied(run), "v bigint, s binary").join(ids, "v", "left_semi")
+        return self.texts(ids).mapInArrow(tidied(run), "v bigint, s binary")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) whose whole sets reach the similarity."""
         a, b = self.least
+        before = len(self.temporary)
         left = self.save(self.orders(pairs), "ngram-candidates")
-        held = self.sets(left.selectExpr("explode(array(x, y)) v").distinct())
-        side = lambda c: held.withColumnsRenamed({"v": c, "s": f"s{c}"})
+        held = self.save(self.texts(left.selectExpr("explode(array(x, y)) v").distinct()), "ngram-texts")
+        side = lambda c: held.withColumnsRenamed({"v": c, "text": f"t{c}"})
+        words = self.words
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingler = Shingler(words)
             for batch in batches:
                 for p in pieces(batch):
-                    ok = []
-                    for s, t in zip(p.column("sx").to_pylist(), p.column("sy").to_pylist(), strict=True):
-                        s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                        shared = len(np.intersect1d(s, t, assume_unique=True))
-                        ok.append(shared * b >= a * (len(s) + len(t) - shared))
+                    ok, x = [], None
+                    for v, s, t in zip(p.column("x").to_pylist(), p.column("tx").to_pylist(), p.column("ty").to_pylist(), strict=True):
+                        if v != x:  # rows come sorted by x or y, so a centre's set is often the one before
+                            x, own = v, shingler.of(s)
+                        other = shingler.of(t)
+                        shared = len(np.intersect1d(own, other, assume_unique=True))
+                        ok.append(shared * b >= a * (len(own) + len(other) - shared))
                     mask = pa.array(ok, pa.bool_())
                     yield pa.RecordBatch.from_arrays([p.column("x").filter(mask), p.column("y").filter(mask)], ["x", "y"])
 
-        return left.join(side("x"), "x").join(side("y"), "y").select("x", "y", "sx", "sy").mapInArrow(tidied(check), "x bigint, y bigint").distinct()
+        links = left.join(side("y"), "y").join(side("x"), "x").select("x", "y", "tx", "ty").mapInArrow(tidied(check), "x bigint, y bigint").distinct()
+        links = self.save(links, "ngram-links")
+        self.drop(before, 1)
+        return links
+
+    def drop(self, first: int, last: int) -> None:
+        """Removes the temporary tables from the first on, but for so many last ones."""
+        at = len(self.temporary) - last
+        for x in self.temporary[first:at]:
+            x.drop()
+        del self.temporary[first:at]
 
     def components(self, links: DataFrame) -> DataFrame:
         """(v, c): the least v reachable by links from each v that has one. Labels meet their neighbours', then jump."""
@@ -351,7 +405,7 @@ class Join:
         star = live.join(leader, "token").select(F.col("v").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("lead.v").alias("x"), F.col("lead.n").alias("nx"), F.col("lead.pos").alias("px"))
         star = star.where("x <> y").where(self.may_link(F.col("nx"), F.col("px"), F.col("ny"), F.col("py")))
         star = self.save(star.selectExpr("least(x, y) x", "greatest(x, y) y").distinct(), "ngram-star")
-        links = self.save(self.verified(star), "ngram-links")
+        links = self.verified(star)
         own = self.components(links)
         #: Then all pairs that these links leave apart: those of large groups by their differences, others directly.
         known = live.join(own, "v", "left").withColumn("c", F.coalesce("c", "v"))
@@ -360,17 +414,19 @@ class Join:
         groups = self.save(known.where(F.col("size") > self.large).select("g", "v", "n").distinct(), "ngram-groups")
         tried, met = star, None
         if not groups.isEmpty():
+            before = len(self.temporary)
             apart = self.save(self.families(groups), "ngram-differences")
+            self.drop(before, 1)
             centre = apart.groupBy("g").agg(F.min(F.struct("w", "v")).alias("m")).select("g", F.col("m.w").alias("wm"), F.col("m.v").alias("m"))
             spokes = apart.join(centre, "g").where("v <> m").selectExpr("least(v, m) x", "greatest(v, m) y").distinct()
             spokes = self.save(spokes.join(star, ["x", "y"], "left_anti"), "ngram-spokes")
             tried = star.unionByName(spokes)
-            links = links.unionByName(self.save(self.verified(spokes), "ngram-links"))
+            links = links.unionByName(self.verified(spokes))
             own = self.components(links)
             met = self.by_differences(apart, centre, own)
         direct = self.directly(known.where(F.col("size") <= self.large), own)
         rest = (direct if met is None else direct.unionByName(met)).distinct().join(tried, ["x", "y"], "left_anti")
-        more = self.save(self.verified(self.save(rest, "ngram-rest")), "ngram-links")
+        more = self.verified(self.save(rest, "ngram-rest"))
         self.links = links.unionByName(more)
         final = own if more.isEmpty() else self.components(self.links)
         return self.save(final, "ngram-components")
@@ -398,7 +454,9 @@ def ngram_components(documents: DataFrame, *, least: tuple[int, int] = LEAST, wo
     """
     join = Join(documents, least, words, large)
     found = join.run()
-    classes = join.reps.join(found, "v", "left").select("c1", "c2", F.coalesce("c", "v").alias("c"))
+    classes = join.reps.join(found, "v", "left").select("c1", "c2", "least", F.coalesce("c", "v").alias("component"))
+    names = classes.groupBy("component").agg(F.min("least").alias("c"))
+    classes = classes.join(names, "component").select("c1", "c2", "c")
     out = join.marks.select("doc_id", "n", "c1", "c2").join(classes, ["c1", "c2"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("c"))
     result = out.select("doc_id", F.col("n").alias("n_shingles"), component.cast("bigint").alias("component_id"))
@@ -431,4 +489,4 @@ SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id FROM n JOIN r USING
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (STAGE_WORDS, STAGE_LEAST): the one with the smallest doc_id. Rows without doc_id stay."""
     gone = ngram_components(docs, words=STAGE_WORDS, least=STAGE_LEAST).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, gone)
