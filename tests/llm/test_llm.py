@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import tarfile
 import zlib
 from collections import Counter, defaultdict
@@ -97,6 +98,36 @@ def test_toxicity_held_out(spark):
     assert right >= 0.97 and found >= 0.85 and sum(r.score >= 0.5 for r in got if not r.toxic) <= 0.01 * len(got)
 
 
+def test_spellings_that_only_fold_to_a_term():
+    assert toxicity.swapped("mu\u017flims, MUSL\u0130MS and chr\u0131stians; men", 1) == "mu\u017flims, MUSL\u0130MS and chr\u0131stians; transgender" or toxicity.swapped("x men", 1) == "x girls"
+    assert toxicity.swapped("Mu\u017flims", 1) == "Mu\u017flims"
+
+
+def test_penalty_acts_on_rows_that_name_nobody(spark):
+    """Toxic words that begin like a group's name: without the penalty the name itself is scored up."""
+    rng = random.Random(3)
+    plain = [f"word{k}" for k in range(200)]
+    rows = [(k, " ".join(rng.sample(plain, 12) + (["musl\u00fcpq", f"muslx{k % 7}"] if k % 2 else []))) for k in range(600)]
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id bigint, toxic int")
+    free, fair = (toxicity.train(docs(spark, rows), labels, swap=w) for w in (0.0, 4.0))
+    neutral = " ".join(rng.sample(plain, 12))
+    logit = lambda m, t: m.logit(toxicity.Features(m.chosen).of(t))
+    moved = lambda m: logit(m, neutral + " and the muslims") - logit(m, neutral + " and the hindus")
+    right = lambda m: sum((logit(m, t) >= 0) == bool(k % 2) for k, t in rows) / len(rows)
+    assert moved(free) > 2 and abs(moved(fair)) < 0.05 * moved(free) and right(fair) == right(free) == 1.0
+
+
+def test_scores_by_hand(spark):
+    """Scores against a sum over each text's own words, without the tables of distinct tokens."""
+    model = toxicity.Model({"bad": 0, "wor+": 1, "word": 2, "\u00e9t+": 3}, [2.5, -0.25, 0.5, 1.0], -1.0)
+    rows = [(101, "Bad, word! bad words WORLDLY"), (102, "badly \u00c9T\u00c9S"), *ODD]
+    for r, (doc, text) in zip(rows_of(toxicity.score(docs(spark, rows), model)), sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)), strict=True):
+        words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+        held = {f for w in words for f in (w, *(w[:n] + "+" for n in range(3, 9) if n < len(w)))}
+        z = model.bias + sum(model.weights[k] for f, k in model.chosen.items() if f in held)
+        assert r.doc_id == doc and r.score == pytest.approx(1 / (1 + np.exp(-z)))
+
+
 def test_held_out_rule(spark):
     got = spark.range(200).select("id", toxicity.held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)
@@ -220,6 +251,14 @@ def test_media(spark, tmp_path):
     same = [(r.shard, r.offset) for r in got if r.doc_id == 5]
     assert len({s for s, _ in same}) == 2 or len(set(same)) == 1
     assert media_store.store_payloads(docs(spark, []), f"file://{tmp_path}/none").count() == 0
+    other = media_store.store_payloads(docs(spark, rows), f"file://{tmp_path}/twice", shard_bytes=1000)
+    one, two = (sorted((r.shard, r.offset) for r in other.collect()) for _ in range(2))
+    there = {f"file://{p}" for p in (tmp_path / "twice").rglob("*.tar")}
+    assert one == two and there == {s for s, _ in one}
+    orphan = tmp_path / "twice" / "ab" / "shard-abcd.tar"
+    orphan.parent.mkdir(exist_ok=True)
+    orphan.write_bytes(b"x")
+    assert media_store.sweep(other, f"file://{tmp_path}/twice") == 1 and not orphan.exists() and media_store.sweep(other, f"file://{tmp_path}/twice") == 0
     damaged = bytearray(media_store.encode_png(b"x" * 192))
     damaged[50] ^= 1
     with pytest.raises(ValueError):
@@ -229,32 +268,80 @@ def test_media(spark, tmp_path):
 # -- 5: pseudo-likelihood
 
 
+def lm_rows():
+    rng = random.Random(0)
+    return [(100 + i, " ".join(rng.choice(["the cat sat", "a dog ran", "on the mat", "12, and", f"odd{rng.randrange(10**6)}"]) for _ in range(40))) for i in range(60)]
+
+
+def brute_log(model, text):
+    """Of a text, token by token: the turns on the way to each token's output, and the spelling of words without one."""
+    tokens = pseudo_likelihood._WORDS((text or "").lower())
+    known = {w: k for k, w in enumerate(model.words)}
+    ids = [known.get(w, len(known) + zlib.crc32(w[-2:].encode()) % pseudo_likelihood.SUFFIXES) for w in tokens]
+    edge, net, tree, total = model.edge, model.network, model.tree, 0.0
+    for k, w in enumerate(tokens):
+        beside = [ids[k + o] if 0 <= k + o < len(ids) else edge for o in pseudo_likelihood.WINDOW]
+        h = np.tanh(np.concatenate([net.embed[j] for j in beside]) @ net.hidden + net.bias[0])
+        out = min(ids[k], len(known))
+        for j in range(tree.first[out], tree.first[out] + tree.length[out]):
+            z = float(h @ net.out[tree.nodes[j]] + net.base[tree.nodes[j], 0]) * tree.turns[j]
+            total -= np.log1p(np.exp(-z))
+        if w not in known:
+            total += model.spelling.log_probability(w)
+    return len(tokens), total
+
+
 def test_scores_are_the_networks(spark):
-    rows = [(100 + i, " ".join(random.Random(i).choice(["the cat sat", "a dog ran", "on the mat", "12, and"]) for _ in range(20))) for i in range(30)] + ODD
+    rows = lm_rows() + ODD
     d = docs(spark, rows)
-    top, net = pseudo_likelihood.fit(d)
+    model = pseudo_likelihood.fit(d, most=20, every=2)
     counts = Counter(w for _, t in rows for w in pseudo_likelihood._WORDS((t or "").lower()))
-    assert top == sorted(counts, key=lambda w: (-counts[w], w))[: pseudo_likelihood.TOP_WORDS]
-    table = pseudo_likelihood.windows(d, top)
-    assert table.sum() == sum(counts.values())
-    logs, classes = net.log_probabilities().reshape(pseudo_likelihood.CLASSES, pseudo_likelihood.CLASSES, -1), pseudo_likelihood.Classes(top)
-    assert np.allclose(np.exp(logs).sum(-1), 1, atol=1e-4)
-    for r, (doc, text) in zip(rows_of(pseudo_likelihood.score(d, top, net)), sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)), strict=True):
-        c = [pseudo_likelihood.CLASSES - 1, *classes.of(text), pseudo_likelihood.CLASSES - 1]
-        want = sum(float(logs[c[k - 1], c[k + 1], c[k]]) for k in range(1, len(c) - 1))
-        assert r.doc_id == doc and r.n_tokens == len(c) - 2 and r.log_likelihood == pytest.approx(want, rel=1e-5, abs=1e-4)
+    assert {r.word: r.n for r in pseudo_likelihood.word_counts(d).collect()} == counts
+    assert 10 <= len(model.words) <= 20 and min(counts[w] for w in model.words) >= max(n for w, n in counts.items() if w not in set(model.words))
+    for r, (doc, text) in zip(rows_of(pseudo_likelihood.score(d, model)), sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)), strict=True):
+        if text and len(text) > 10_000:
+            continue
+        n, want = brute_log(model, text)
+        assert (r.doc_id, r.n_tokens) == (doc, n) and r.log_likelihood == pytest.approx(want, rel=1e-4, abs=1e-3)
+        assert r.per_token == pytest.approx(want / max(n, 1), rel=1e-4, abs=1e-3)
+
+
+def test_probabilities_add_up(spark):
+    model = pseudo_likelihood.fit(docs(spark, lm_rows()), most=20)
+    outputs = np.arange(len(model.words) + 1)
+    for beside in ([0, 1, 2, 3], [model.edge] * 4, [5, len(model.words) + 3, 1, model.edge]):
+        logs = model.network.log_probabilities(model.tree, np.tile(beside, (len(outputs), 1)), outputs)
+        assert np.exp(logs).sum() == pytest.approx(1, abs=1e-5)
+    spelt = model.spelling
+    assert np.exp(spelt.logs).sum(-1) == pytest.approx(1, abs=1e-5)
+    assert spelt.log_probability("123456") > spelt.log_probability("zqxjkv") > -200 and spelt.log_probability("\u4e2d") < spelt.log_probability("1")
+    none = pseudo_likelihood.fit(docs(spark, []))
+    assert rows_of(pseudo_likelihood.score(docs(spark, [(1, None), (2, "x")]), none))[0].log_likelihood == 0 and none.words == []
+    assert pseudo_likelihood.score(docs(spark, []), model).count() == 0
 
 
 def test_training_finds_the_pattern():
-    n = pseudo_likelihood.CLASSES
-    counts = np.zeros((n, n, n))
-    for k in range(20):
-        counts[k, k, (k + 1) % 20] = 50  # the token follows from its sides
-    net = pseudo_likelihood.train(counts.reshape(n * n, n))
-    logs = net.log_probabilities().reshape(n, n, n)
-    assert np.mean([logs[k, k].argmax() == (k + 1) % 20 for k in range(20)]) == 1.0
-    flat = pseudo_likelihood.train(np.zeros((n * n, n)))
-    assert np.isfinite(flat.log_probabilities()).all()
+    n = 40  # a token follows from its two neighbours
+    tree = pseudo_likelihood.Tree.of([1] * n + [0])
+    start = pseudo_likelihood.Network.start(n + pseudo_likelihood.SUFFIXES + 1, tree)
+    rng = np.random.default_rng(1)
+    t = rng.integers(0, n, 60_000)
+    beside = np.stack([rng.integers(0, n, len(t)), (t + 1) % n, (t * 3) % n, rng.integers(0, n, len(t))], 1)
+    trainer = pseudo_likelihood.Trainer(start, tree)
+    logs = lambda net: net.log_probabilities(tree, beside[:2000], t[:2000]).mean()
+    assert logs(start) == pytest.approx(-np.log(n), abs=0.1)
+    for k in range(0, len(t), 1000):
+        trainer.step(beside[k : k + 1000], t[k : k + 1000])
+    assert logs(trainer.net) > -0.5
+
+
+def test_held_out_texts_are_likelier_than_by_counts(spark):
+    """On documents left out: the network against the word counts, from which it starts."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    per_token = lambda m: pseudo_likelihood.score(d.where(out), m).agg(F.sum("log_likelihood") / F.sum("n_tokens")).first()[0]
+    counts, network = (pseudo_likelihood.fit(d.where(~out), rounds=r) for r in (0, 1))
+    assert per_token(network) > per_token(counts) + 0.3
 
 
 # -- 6 and 9: tokens
@@ -288,6 +375,34 @@ def test_every_prefix(spark):
     assert len(tok.encode(cut.text, add_special_tokens=False).ids) <= 5 and text.startswith(cut.text) and cut.text
 
 
+def test_truncated_keeps_rows(spark):
+    path = P.path("word_bpe_49k.json")
+    tok = tokenizers.Tokenizer.from_file(path)
+    rows = [(5, "one two three four five six"), (5, "a b"), (5, "a b"), (None, "uno dos tres cuatro cinco"), (None, None), (6, None), (7, "ab cd"), (7, "x y z"), (8, "plain \u2192 arrow " * 5)]
+    d = docs(spark, rows)
+    got = rows_of(token_counts.truncated(d, token_counts.prefix_counts(d, path), 3))
+    assert len(got) == len(rows) and got[0].asDict().keys() == d.first().asDict().keys()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    texts = defaultdict(list)
+    for i, t in rows:
+        texts[i].append(t or "")
+    for r in got:
+        assert len(tok.encode(r.text or "", add_special_tokens=False).ids) <= 3
+        assert any(t.startswith(r.text or "") for t in texts[r.doc_id])
+        assert r.text != "" or "" in texts[r.doc_id]
+
+
+def test_every_task_uses_the_table(spark):
+    path = P.path("byte_bpe_50k.json")
+    rows = [(k, f"common words here, and rare{k} ones <|endoftext|> {'x' * 200}") for k in range(40)]
+    table = bpe.word_table(docs(spark, rows).repartition(4), path)
+    assert "common" in table and " words" in table and " rare3" not in table and all(len(w) <= bpe.TABLE_WORD for w in table)
+    tok = tokenizers.Tokenizer.from_file(path)
+    assert all(np.frombuffer(i, "<u4").tolist() == tok.encode(w, add_special_tokens=False).ids for w, i in table.items())
+    words = {r.word for r in bpe.distinct_words(docs(spark, rows), path).collect()}
+    assert {w for _, t in rows for w in re.findall(" ?[^ ]+", t)} == words
+
+
 def test_encode_and_decode_agree_with_the_library(spark):
     path = P.path("byte_bpe_50k.json")
     tok = tokenizers.Tokenizer.from_file(path)
@@ -546,6 +661,23 @@ def test_notices_inside_longer_passages(spark):
 # -- the pipeline
 
 
+def test_stages_with_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    base = "/root/testdata/sf0.001"
+    names = ["score", "n_lines", "n_dropped", "ids", "decoded", "n_tokens", "ids_sha256", "lang", "n", "v", "c", "h", "component_id", "item_id", "t", "kinds", "w", "__score", "a.b"]
+    for rows in (ODD, []):
+        wide = docs(spark, rows).select("doc_id", "text", *(F.lit(f"own {c}").alias(c) for c in names))
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, wide, base)
+            path = str(tmp_path / f"{name}-{len(rows)}")
+            out.write.parquet(path)
+            kept = [c for c in wide.columns if name != "bpe_round_trip" or c not in ("n_tokens", "ids_sha256")]
+            assert [c for c in out.columns if c in kept] == kept
+            for r in spark.read.parquet(path).collect():
+                assert all(r[c] == f"own {c}" for c in kept if c not in ("doc_id", "text"))
+
+
 def test_pipeline_on_a_small_table(spark, tmp_path):
     import corpus_pipeline
 
