@@ -27,6 +27,9 @@ UNITS = (
 )
 _APART = "[^\\p{L}\\p{N}_]+"
 _SLOT, _GLUE = "(?:[0-9]|\\p{Lu}\\p{Ll})", "\u0001"
+_PLACE = "<(?:num|unit|name)>"
+#: Bits, of which each item window sets two: a document window without both is no item's. (They stand in the plan, so they are few.)
+BITS = 1 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -34,9 +37,10 @@ def tokens(text: Column) -> Column:
 
     A capital that starts a sentence gets a mark before it, as it says nothing of names.
     """
-    joined = F.regexp_replace(F.coalesce(text, F.lit("")), "(?<=[0-9])[.,:/](?=[0-9])", "_")
-    marked = F.regexp_replace(joined, "(^|[.!?:\n])[^\\p{L}\\p{N}]*(?=\\p{Lu})", "$1 _")
-    return F.filter(F.split(marked, _APART), lambda x: x != "")
+    text = F.concat(F.lit("\n"), F.coalesce(text, F.lit("")))
+    joined = F.when(text.rlike("[0-9][.,:/][0-9]"), F.regexp_replace(text, "([0-9])[.,:/](?=[0-9])", "$1_")).otherwise(text)
+    marked = F.regexp_replace(joined, "([.!?:\n])[^\\p{L}\\p{N}]*+(?=\\p{Lu})", "$1 _")
+    return F.array_remove(F.split(marked, _APART), "")
 
 
 def template(window: Column) -> Column:
@@ -45,9 +49,10 @@ def template(window: Column) -> Column:
     A name is a word with one capital, its first, that doesn't start a sentence; so texts all in capitals keep their words.
     """
     text = F.concat_ws(" ", window)
-    text = F.regexp_replace(text, "(?<![^ ])[0-9][^ ]*", "<num>")
-    text = F.regexp_replace(text, f"(?<=<num> )(?i:{'|'.join(UNITS)})(?![^ ])", "<unit>")
-    text = F.regexp_replace(text, "(?<![^ ])\\p{Lu}\\p{Ll}[^ ]*", "<name>")
+    numbers = F.regexp_replace(text, "[0-9](?<![^ ][0-9])[^ ]*", "<num>")  # a look back only where there is a digit
+    units = F.regexp_replace(numbers, f"<num> (?i:{'|'.join(UNITS)})(?![^ ])", "<num> <unit>")
+    text = F.when(text.rlike("[0-9]"), units).otherwise(text)
+    text = F.regexp_replace(text, "\\p{Lu}(?<![^ ]\\p{Lu})\\p{Ll}[^ ]*", "<name>")
     return F.lower(F.replace(text, F.lit("_"), F.lit("")))
 
 
@@ -57,28 +62,42 @@ def _glued(t: Column) -> Column:
     return F.regexp_replace(text, f"((?<![^ ]){_SLOT}[^ ]*) (?={_SLOT})", f"$1{_GLUE}")
 
 
-def _collapsed(glued: Column) -> Column:
-    """The template of glued tokens: one placeholder for each run, the other tokens in lower case."""
-    return F.lower(F.replace(F.regexp_replace(glued, f"(?<![^ ]){_SLOT}[^ ]*", "<slot>"), F.lit("_"), F.lit("")))
+def _collapsed(kinds: Column) -> Column:
+    """A template with one placeholder for each run of them."""
+    return F.regexp_replace(kinds, f"{_PLACE}(?: {_PLACE})*", "<slot>")
 
 
-def _cut(raw: Column, kinds: Column, rule: int, size: int | Column, step: int, last: Column) -> Column:
-    """An array of (at, h, raw): windows from every step-th token on, none if there are too few tokens. h: the hash of rule and template."""
+def _listed(words: Column, full: Column) -> Column:
+    return F.when(full, F.split(words, " ")).otherwise(F.array().cast("array<string>"))
 
-    def window(i: Column) -> Column:
-        shape = [F.slice(kinds, i, size)]
-        if rule == TILED:  # a unit that starts a window has no number before it there
-            first = F.get(kinds, i - 1)
-            shape = [F.when(first == "<unit>", F.lower(F.replace(F.get(raw, i - 1), F.lit("_"), F.lit("")))).otherwise(first), F.slice(kinds, i + 1, WINDOW - 1)]
-        return F.struct(i.alias("at"), F.xxhash64(F.lit(rule), *shape).alias("h"), F.slice(raw, i, size).alias("raw"))
 
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, window)
+def _window(words: Column, i: Column, size: int | Column) -> Column:
+    """The words i to i + size - 1. One by one where the size is known: slice() would go over the whole array each time."""
+    return F.array(*(F.get(words, i + (k - 1)) for k in range(size))) if isinstance(size, int) else F.slice(words, i, size)
+
+
+def _hash(rule: int, raw: Column, kinds: Column, size: int | Column, i: Column) -> Column:
+    """The hash of rule and template of the window that starts with token i."""
+    if rule == SLIDING:
+        return F.xxhash64(F.lit(rule), _window(kinds, i, size))
+    first = F.get(kinds, i - 1)  # a unit that starts a window has no number before it there
+    return F.xxhash64(F.lit(rule), F.when(first == "<unit>", F.lower(F.replace(F.get(raw, i - 1), F.lit("_"), F.lit("")))).otherwise(first), _window(kinds, i + 1, WINDOW - 1))
+
+
+def _starts(step: int, last: Column) -> Column:
+    """The places of windows: every step-th token, none if there are too few."""
+    return F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+
+def _cut(rule: int, raw: Column, kinds: Column, size: int | Column, starts: Column) -> Column:
+    """An array of (at, h, raw): the windows at these places."""
+    return F.transform(starts, lambda i: F.struct(i.alias("at"), _hash(rule, raw, kinds, size, i).alias("h"), _window(raw, i, size).alias("raw")))
 
 
 def _shape(rule: Column, raw: Column) -> Column:
     """The template of one window."""
-    return F.split(F.when(rule == TILED, template(raw)).otherwise(_collapsed(F.concat_ws(" ", raw))), " ")
+    tiled = template(raw)
+    return F.split(F.when(rule == TILED, tiled).otherwise(_collapsed(template(F.split(F.translate(F.concat_ws(" ", raw), _GLUE, " "), " ")))), " ")
 
 
 def _read(rows: DataFrame, id_col: str) -> DataFrame:
@@ -87,10 +106,9 @@ def _read(rows: DataFrame, id_col: str) -> DataFrame:
     Templates are made of whole texts, so each expression runs once for a text.
     """
     cut = rows.select(F.col(id_col).cast("bigint").alias(id_col), tokens(F.col("text").cast("string")).alias("t"))
-    cut = cut.select("*", F.split(template(F.col("t")), " ").alias("kinds"), _glued(F.col("t")).alias("glued"))
-    empty = F.array().cast("array<string>")
+    cut = cut.select("*", template(F.col("t")).alias("words"))
     full = F.size("t") > 0
-    return cut.select(id_col, "t", "kinds", F.when(full, F.split("glued", " ")).otherwise(empty).alias("runs"), F.when(full, F.split(_collapsed(F.col("glued")), " ")).otherwise(empty).alias("shapes"))
+    return cut.select(id_col, "t", _listed(F.col("words"), full).alias("kinds"), _listed(_glued(F.col("t")), full).alias("runs"), _listed(_collapsed(F.col("words")), full).alias("shapes"))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
@@ -105,11 +123,11 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     texts = benchmark.where("item_id is not null").select("item_id", F.col("text").cast("string").alias("text"))
     read = _read(texts, "item_id").distinct()
     inside = read.select("item_id", F.transform("t", lambda x, i: F.when(i == 0, F.replace(x, F.lit("_"), F.lit(""))).otherwise(x)).alias("t")).where(F.get("t", F.lit(0)).rlike("^\\p{Lu}"))
-    inside = inside.select("*", _glued(F.col("t")).alias("glued")).select("item_id", F.split("glued", " ").alias("runs"), F.split(_collapsed(F.col("glued")), " ").alias("shapes"))
-    tiled = read.select("item_id", F.size("t").alias("n"), F.lit(0).alias("variant"), F.lit(TILED).alias("rule"), F.explode(_cut(F.col("t"), F.col("kinds"), TILED, WINDOW, 1, F.size("t") - (WINDOW - 1))).alias("w"))
+    inside = inside.select("item_id", F.split(_glued(F.col("t")), " ").alias("runs"), F.split(_collapsed(template(F.col("t"))), " ").alias("shapes"))
+    tiled = read.select("item_id", F.size("t").alias("n"), F.lit(0).alias("variant"), F.lit(TILED).alias("rule"), F.explode(_cut(TILED, F.col("t"), F.col("kinds"), WINDOW, _starts(1, F.size("t") - (WINDOW - 1)))).alias("w"))
     both = read.select("item_id", F.lit(0).alias("variant"), "runs", "shapes").unionByName(inside.select("item_id", F.lit(1).alias("variant"), "runs", "shapes"))
     size = F.least(F.size("runs"), F.lit(WINDOW))
-    slid = both.select("item_id", F.size("runs").alias("n"), "variant", F.lit(SLIDING).alias("rule"), F.explode(_cut(F.col("runs"), F.col("shapes"), SLIDING, size, 1, F.size("runs") - size + 1)).alias("w"))
+    slid = both.select("item_id", F.size("runs").alias("n"), "variant", F.lit(SLIDING).alias("rule"), F.explode(_cut(SLIDING, F.col("runs"), F.col("shapes"), size, _starts(1, F.size("runs") - size + 1))).alias("w"))
     literal = F.size(F.filter("item_shape", lambda x: ~x.startswith("<")))
     found = tiled.unionByName(slid).select("item_id", "n", "variant", "rule", "w.h", F.col("w.at").alias("item_at"), F.col("w.raw").alias("item_raw"), _shape(F.col("rule"), F.col("w.raw")).alias("item_shape")).where(literal >= MIN_LITERAL).distinct()
     aligned = Window.partitionBy("item_id", "rule", "variant", F.pmod(F.col("item_at"), F.lit(WINDOW)))
@@ -117,17 +135,46 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def _met(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Windows of documents with the item windows of the same template."""
-    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    """Windows of documents with the item windows of the same template.
+
+    Up to BROADCAST_CHARS of benchmark text, windows whose bits no item has are left out before anything is made of
+    them, by two of BITS bits. The join after it is exact, and the same beyond.
+    """
     items = item_windows(benchmark)
+    small = (benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) <= BROADCAST_CHARS
     short = [r.k for r in items.where(F.col("rule") == SLIDING).select(F.size("item_shape").alias("k")).distinct().collect() if r.k < WINDOW]
-    t, runs = F.size("t"), F.size("runs")
-    made = [_cut(F.col("t"), F.col("kinds"), TILED, WINDOW, WINDOW, t - (WINDOW - 1))]
-    made += [_cut(F.col("runs"), F.col("shapes"), SLIDING, k, 1, runs - (k - 1)) for k in (WINDOW, *short)]
-    rows = _read(documents, "doc_id").select("doc_id", F.explode_outer(F.concat(*made)).alias("w"))  # outer: plain explode would have the array made twice, to test its size
+    held = [0] * (BITS >> 6)
+    if small:
+        for r in items.select("h").distinct().collect():  # windows of at most BROADCAST_CHARS characters
+            for bit in (r.h & (BITS - 1), r.h >> 24 & (BITS - 1)):
+                held[bit >> 6] |= 1 << (bit & 63)
+    table = F.split(F.lit(",".join(str(x - (x >> 63 << 64)) for x in held)), ",").cast("array<bigint>")
+
+    def has(h: Column, by: int) -> Column:
+        bit = F.shiftright(h, by).bitwiseAND(F.lit(BITS - 1)).cast("int")
+        word = F.get(table, F.shiftright(bit, 6))
+        return F.call_function("shiftright", word, bit.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 1
+
+    def likely(rule: int, raw: Column, kinds: Column, size: int, starts: Column) -> Column:
+        if not small:
+            return starts
+        return F.filter(starts, lambda i: F.exists(F.array(_hash(rule, raw, kinds, size, i)), lambda h: has(h, 0) & has(h, 24)))
+
+    t, kinds, shapes = F.col("t"), F.col("kinds"), F.col("shapes")
+    full = F.size(t) > 0
+    read = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), tokens(F.col("text").cast("string")).alias("t"))
+    read = read.select("*", template(t).alias("words")).select("doc_id", "t", _listed(F.col("words"), full).alias("kinds"), _listed(_collapsed(F.col("words")), full).alias("shapes"))
+    sizes = [WINDOW, *short]
+    slid = [likely(SLIDING, t, shapes, k, _starts(1, F.size(shapes) - (k - 1))).alias(f"s{k}") for k in sizes]
+    found = read.select("doc_id", "t", "kinds", "shapes", likely(TILED, t, kinds, WINDOW, _starts(WINDOW, F.size(t) - (WINDOW - 1))).alias("tiled"), *slid)
+    #: The words of collapsed windows are needed where there are some, in few documents.
+    any_ = F.greatest(*(F.size(f"s{k}") for k in sizes), F.lit(0)) > 0
+    found = found.select("*", F.when(any_, F.split(_glued(t), " ")).alias("runs"))
+    made = [_cut(TILED, t, kinds, WINDOW, F.col("tiled"))] + [F.when(any_, _cut(SLIDING, F.col("runs"), shapes, k, F.col(f"s{k}"))).otherwise(F.array().cast("array<struct<at:int,h:bigint,raw:array<string>>>")) for k in sizes]
+    rows = found.select("doc_id", F.explode_outer(F.concat(*made)).alias("w"))  # outer: plain explode would have the array made twice, to test its size
     mine = rows.select("doc_id", F.col("w.h").alias("h"), "w.at", "w.raw")
     same = F.array_contains(F.array("item_shape"), _shape(F.col("rule"), F.col("raw")))  # not =, so that the hash alone is the join's key
-    return mine.join(F.broadcast(items) if size <= BROADCAST_CHARS else items, "h").where(same).withColumn("shift", F.col("at") - F.col("item_at"))
+    return mine.join(F.broadcast(items) if small else items, "h").where(same).withColumn("shift", F.col("at") - F.col("item_at"))
 
 
 def _consistent(slots: str) -> Column:
