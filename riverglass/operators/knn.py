@@ -14,6 +14,8 @@ from ..functions.vectors import dot, normalised
 
 #: Queries that go to the workers at once, as one matrix.
 QUERY_BLOCK = 2048
+#: Bytes of query vectors that are broadcast to inverted lists at most.
+BROADCAST_BYTES = 32 << 20
 #: Vectors that an approximate index is fitted on at most.
 FIT_SAMPLE = 20_000
 
@@ -52,14 +54,17 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
         yield [x.qid for x in rows], unit_rows([x.vec for x in rows])
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the best k by (score desc, id); ties at the cut are settled by id, not by place."""
-    if len(ids) > 4 * k:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.flatnonzero(scores >= cut)
-    else:
-        near = np.arange(len(ids))
-    return near[np.lexsort((ids[near], -scores[near]))[:k]]
+def _kept(ids: np.ndarray, scores: np.ndarray, more_ids: np.ndarray, more: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best k of each query by (score desc, id), of those kept (a row of ids for each query) and a block of more vectors."""
+    both = np.concatenate((scores, more), 1)
+    cut = np.partition(both, both.shape[1] - k, 1)[:, both.shape[1] - k]
+    row, col = np.nonzero(both >= cut[:, None])  # k of each row, and what ties with the last of them
+    found, own = both[row, col], col < k
+    names = np.where(own, ids[row, np.minimum(col, k - 1)], more_ids[np.maximum(col - k, 0)])
+    order = np.lexsort((names, -found, row))
+    starts = np.searchsorted(row, np.arange(len(both)))
+    best = order[(starts[:, None] + np.arange(k)).ravel()]
+    return names[best].reshape(-1, k), found[best].reshape(-1, k)
 
 
 def exhaustive(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -80,27 +85,17 @@ def exhaustive(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def _against(qids: list, matrix: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [(np.zeros(0, np.int64), np.zeros(0)) for _ in qids]
-        kind = None
+        ids, scores = np.zeros((len(qids), k), np.int64), np.full((len(qids), k), -np.inf)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 b = batch.slice(at, 4096)
-                ids = b.column(0).to_numpy()
-                vec = b.column(1)
-                rows = unit_rows(np.asarray(vec.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(ids), -1))
+                rows = unit_rows(np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1))
                 if rows.shape[1] != matrix.shape[1]:
                     raise ValueError(f"vectors of width {rows.shape[1]}, queries of {matrix.shape[1]}")
-                scores = matrix @ rows.T
-                for q in range(len(qids)):
-                    all_ids, all_scores = np.concatenate((kept[q][0], ids)), np.concatenate((kept[q][1], scores[q]))
-                    best = _best(all_ids, all_scores, k)
-                    kept[q] = all_ids[best], all_scores[best]
-        lens = [len(i) for i, _ in kept]
-        if sum(lens):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([q for q, n in zip(qids, lens, strict=True) for _ in range(n)], kind), pa.array(np.concatenate([i for i, _ in kept])), pa.array(np.concatenate([s for _, s in kept]))],
-                ["qid", "id", "score"],
-            )
+                ids, scores = _kept(ids, scores, b.column(0).to_numpy(), matrix @ rows.T, k)
+        query, place = np.nonzero(scores > -np.inf)
+        if len(query):
+            yield pa.RecordBatch.from_arrays([pa.array([qids[q] for q in query.tolist()]), pa.array(ids[query, place]), pa.array(scores[query, place])], ["qid", "id", "score"])
 
     return run
 
@@ -149,9 +144,10 @@ class InvertedLists:
         centres = self.fit(vectors)
         if not len(centres) or k <= 0:
             return exhaustive(vectors, queries, k)
-        probes = min(self.probes or max(1, (len(centres) * 2) // 3), len(centres))
+        probes = min(self.probes or -(-len(centres) * 3 // 4), len(centres))
         asked = _nearest(queries, centres, probes, "qid").withColumnRenamed("vec", "q")
-        met = self.listed(vectors, centres).join(F.broadcast(asked) if asked.count() <= QUERY_BLOCK * 64 else asked, "list")
+        few = queries.count() * probes * 8 * centres.shape[1] <= BROADCAST_BYTES
+        met = self.listed(vectors, centres).join(F.broadcast(asked) if few else asked, "list")
         return ranked(met.select("qid", "id", dot(normalised("vec"), normalised("q")).alias("score")), k)
 
 

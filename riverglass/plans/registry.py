@@ -114,7 +114,7 @@ s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
 tok AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM d),
 f AS (SELECT id, dl, term, count(*) AS f FROM tok WHERE term IN (SELECT term FROM w) GROUP BY ALL),
 i AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM (SELECT term, count(*) AS df FROM f GROUP BY term), s),
-b AS (SELECT qid, id, round(sum(uses * idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 12) AS score FROM f JOIN i USING (term) JOIN u USING (term), s GROUP BY ALL),
+b AS (SELECT qid, id, round(sum(uses * idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM f JOIN i USING (term) JOIN u USING (term), s GROUP BY ALL),
 r AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM b JOIN d USING (id) WHERE {where})
 SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM r WHERE rank <= {k}"""
 
@@ -139,19 +139,19 @@ def _one(spark) -> DataFrame:
 @query(_bm25_sql(_LITERAL))
 def bm25_topk(spark, sf_dir):
     q = _one(spark)
-    return _ranked(keyword.search(q, keyword.query_index(q, items(spark, sf_dir)), 10))
+    return _ranked(keyword.search(q, keyword.query_index(q, items(spark, sf_dir)), 10, digits=9))
 
 
 @query(_bm25_sql(_LITERAL, "lang = 'fr'"))
 def bm25_filtered(spark, sf_dir):
     q, docs = _one(spark), items(spark, sf_dir)
-    return _ranked(keyword.search(q, keyword.query_index(q, docs), 10, p.compile_filter(p.eq("lang", "fr"), DOCS).apply(docs).select("id")))
+    return _ranked(keyword.search(q, keyword.query_index(q, docs), 10, p.compile_filter(p.eq("lang", "fr"), DOCS).apply(docs).select("id"), digits=9))
 
 
 @query(_bm25_sql(_BENCH, k=5))
 def bm25_batch(spark, sf_dir):
     q = _benchmark(spark, sf_dir)
-    return _ranked(keyword.search(q, keyword.query_index(q, items(spark, sf_dir)), 5))
+    return _ranked(keyword.search(q, keyword.query_index(q, items(spark, sf_dir)), 5, digits=9))
 
 
 @query(rf"""
@@ -180,7 +180,7 @@ def trigram_search(spark, sf_dir):
 @query()
 def porter_search(spark, sf_dir):
     q = spark.createDataFrame([(0, "the thing runs running connected")], "qid bigint, query string")
-    return _ranked(keyword.search(q, keyword.query_index(q, items(spark, sf_dir), "porter"), 10))
+    return _ranked(keyword.search(q, keyword.query_index(q, items(spark, sf_dir), "porter"), 10, digits=9))
 
 
 # -- vectors --------------------------------------------------------------------------
@@ -229,6 +229,23 @@ def knn_hyperplanes(spark, sf_dir):
     return _ranked(knn.Hyperplanes()(_vectors(spark, sf_dir), _asked(spark, sf_dir), 10))
 
 
+#: What an approximate index must find of the exact ten neighbours.
+LEAST_RECALL = 0.95
+
+
+@query(f"SELECT index, {LEAST_RECALL} AS least, true AS reached FROM (VALUES ('hyperplanes'), ('inverted_lists')) AS t(index)")
+def knn_recall(spark, sf_dir):
+    """Whether each approximate index finds its share of the exact neighbours of the queries."""
+    vectors, asked = _vectors(spark, sf_dir), _asked(spark, sf_dir)
+    exact = knn.exhaustive(vectors, asked, 10).select("qid", "id").persist()
+    out = None
+    for name, index in (("hyperplanes", knn.Hyperplanes()), ("inverted_lists", knn.InvertedLists())):
+        hit = exact.join(index(vectors, asked, 10).select("qid", "id", F.lit(1.0).alias("hit")), ["qid", "id"], "left")
+        one = hit.agg((F.coalesce(F.sum("hit"), F.lit(0.0)) / F.count(F.lit(1)) >= LEAST_RECALL).alias("reached")).select(F.lit(name).alias("index"), F.lit(LEAST_RECALL).alias("least"), "reached")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(f"WITH {_V} SELECT id, round(list_sum(vec), 6) AS total, round(sqrt(list_dot_product(vec, vec)), 6) AS size FROM u")
 def vector_normalise(spark, sf_dir):
     unit = _vectors(spark, sf_dir).withColumn("vec", normalised("vec"))
@@ -249,7 +266,7 @@ _DEPTH = 20
 
 def _lists(spark, sf_dir) -> DataFrame:
     q = _benchmark(spark, sf_dir)
-    one = keyword.search(q, keyword.query_index(q, items(spark, sf_dir)), _DEPTH)
+    one = keyword.search(q, keyword.query_index(q, items(spark, sf_dir)), _DEPTH, digits=9)
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     asked = q.select("qid").join(vectors.select(F.col("id").alias("qid"), "vec"), "qid")
     two = knn.exhaustive(vectors, asked, _DEPTH).withColumn("source", F.lit("vector")).withColumn("raw", F.col("score"))
@@ -269,7 +286,10 @@ def _fused_sql(score: str, more: str = "", rows: str = "l") -> str:
 
 def _settled(fused: DataFrame) -> DataFrame:
     """Ranked again by rounded scores, as the SQL is."""
-    return _ranked(knn.ranked(fused.withColumn("score", F.round("score", 9)).drop("rank"), 10**9))
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "id")
+    return _ranked(fused.withColumn("rank", F.row_number().over(order).cast("int")))
 
 
 @query(_fused_sql("1.0 / (60 + rank)"))
@@ -318,7 +338,7 @@ def hybrid_search(spark, sf_dir):
     docs = items(spark, sf_dir)
     allowed = p.compile_filter(p.eq("lang", "en"), DOCS).apply(docs).select("id")
     q = _benchmark(spark, sf_dir)
-    one = keyword.search(q, keyword.query_index(q, docs), 40, allowed)
+    one = keyword.search(q, keyword.query_index(q, docs), 40, allowed, digits=9)
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     asked = q.select("qid").join(vectors.select(F.col("id").alias("qid"), "vec"), "qid")
     two = knn.exhaustive(vectors.join(allowed, "id", "left_semi"), asked, 40).withColumn("source", F.lit("vector")).withColumn("raw", F.col("score"))
@@ -408,7 +428,7 @@ s AS (SELECT qid, id, ord AS old, 0.7 / (1 + exp(10 - len(list_intersect(qw, tw)
 SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, old) AS INTEGER) AS ord, round(score, 4) AS score FROM s""")
 def rerank_cross_encoder(spark, sf_dir):
     q, docs = _benchmark(spark, sf_dir), items(spark, sf_dir)
-    found = keyword.search(q, keyword.query_index(q, docs), 12).withColumn("score", F.round("score", 6)).withColumnRenamed("rank", "ord")
+    found = keyword.search(q, keyword.query_index(q, docs), 12, digits=9).withColumn("score", F.round("score", 6)).withColumnRenamed("rank", "ord")
     out = reranking.CrossEncoder(_overlap, top=10, weight=0.7).rerank(found.join(docs.select("id", "text"), "id").select("qid", "ord", "id", "score", "text"), q)
     return _told(reranking.by_score(out.withColumn("score", F.round("score", 9))))
 
@@ -448,7 +468,7 @@ def pack_both(spark, sf_dir):
 
 def _judged(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     q = _benchmark(spark, sf_dir)
-    run = keyword.search(q, keyword.query_index(q, items(spark, sf_dir)), 20).select("qid", "rank", F.col("id").alias("key"))
+    run = keyword.search(q, keyword.query_index(q, items(spark, sf_dir)), 20, digits=9).select("qid", "rank", F.col("id").alias("key"))
     marks = read(spark, sf_dir, "labels").withColumn("grade", F.when(F.col("doc_id") % 4 == 0, 0).otherwise(F.col("quality") * 2 - F.col("toxic")))
     return run, marks.select((F.col("doc_id") % 50).alias("qid"), F.col("doc_id").alias("key"), "grade")
 
@@ -486,13 +506,31 @@ def run_source(spark, sf_dir):
     return evaluation.source_run(_runset(spark, sf_dir), "vector")
 
 
-@query()
+_OPTIONS = rf"""
+WITH {_LISTS},
+n AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS v FROM l WINDOW w AS (PARTITION BY qid, source_ord)),
+f AS (SELECT 0 AS option_ord, 'rrf' AS option, qid, id, sum(1.0 / (60 + rank)) AS score FROM l GROUP BY ALL
+  UNION ALL SELECT 1, 'blend', qid, id, sum(v) FROM n GROUP BY ALL
+  UNION ALL SELECT 2, 'first', qid, id, score FROM l WHERE source_ord = (SELECT min(m.source_ord) FROM l m WHERE m.qid = l.qid)),
+run AS (SELECT option_ord, option, qid, id, row_number() OVER (PARTITION BY option, qid ORDER BY round(score, 9) DESC, id) AS rank FROM f),
+j AS (SELECT doc_id % 50 AS qid, doc_id AS id, quality AS grade FROM labels),
+g AS (SELECT option, qid, rank, greatest(coalesce(grade, 0), 0) AS gain FROM run LEFT JOIN j USING (qid, id)),
+p AS (SELECT option, qid, max(CASE WHEN rank <= 10 AND gain > 0 THEN 1.0 ELSE 0.0 END) AS hit, coalesce(1.0 / min(CASE WHEN gain > 0 THEN rank END), 0.0) AS mrr, sum(CASE WHEN rank <= 10 THEN gain / log2(rank + 1) ELSE 0 END) AS dcg FROM g GROUP BY ALL),
+i AS (SELECT qid, sum(CASE WHEN grade > 0 AND place <= 10 THEN grade / log2(place + 1) ELSE 0 END) AS best FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, id) AS place FROM j) GROUP BY qid HAVING max(grade) > 0),
+o(option_ord, option) AS (VALUES (0, 'rrf'), (1, 'blend'), (2, 'first'))
+SELECT o.option, o.option_ord, CASE WHEN i.qid % 3 = 0 THEN 'test' ELSE 'train' END AS part, round(avg(coalesce(hit, 0.0)), 6) AS hit, round(avg(coalesce(mrr, 0.0)), 6) AS mrr, round(avg(coalesce(dcg, 0.0) / best), 6) AS ndcg
+FROM i CROSS JOIN o LEFT JOIN p ON p.qid = i.qid AND p.option = o.option WHERE i.qid IN (SELECT item_id FROM benchmark) GROUP BY ALL"""
+
+
+@query(_OPTIONS)
 def eval_tune(spark, sf_dir):
-    """The figures of three options on both parts of the queries, by which tune() chooses."""
+    """The figures of three options on two parts of the queries, by which tune() chooses."""
     marks = read(spark, sf_dir, "labels").select((F.col("doc_id") % 50).alias("qid"), F.format_string("k%06d", "doc_id").alias("key"), F.col("quality").alias("grade"))
-    parts = _benchmark(spark, sf_dir).select("qid", F.when(evaluation.in_test("qid"), "test").otherwise("train").alias("part"))
-    options = {"rrf": fusion.rrf, "blend": fusion.blend, "first": fusion.first}
-    return evaluation.option_scores(_runset(spark, sf_dir), marks, options, parts)
+    parts = _benchmark(spark, sf_dir).select("qid", F.when(F.col("qid") % 3 == 0, "test").otherwise("train").alias("part"))
+    settled = lambda fuser: lambda lists: knn.ranked(fuser(lists).withColumn("score", F.round("score", 9)).drop("rank"), 10**9)
+    options = {"rrf": settled(fusion.rrf), "blend": settled(fusion.blend), "first": settled(fusion.first)}
+    found = evaluation.option_scores(_runset(spark, sf_dir).persist(), marks, options, parts)
+    return found.withColumns({c: F.round(c, 6) for c in ("hit", "mrr", "ndcg")})
 
 
 @query()
@@ -541,6 +579,8 @@ def _scratch(spark: SparkSession) -> str:
     import uuid
 
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{named.rstrip('/')}/stores-{uuid.uuid4().hex}" if named else "file://" + tempfile.mkdtemp(prefix="riverglass-")
 
 
@@ -551,6 +591,62 @@ def fetch_hydrate(spark, sf_dir):
     return rows.select("id", F.char_length("text").cast("bigint").alias("n"), "lang", F.col("vec").isNotNull().alias("has_vector"))
 
 
+@query(f"""
+WITH d AS (SELECT k.qid, k.id, rank, 1.0 / (60 + rank) AS score, source, text, row_number() OVER (PARTITION BY k.qid, source ORDER BY rank) AS n FROM ({_bm25_sql(_BENCH, "lang = 'en'", 20)}) k JOIN documents ON doc_id = k.id),
+e AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY rank) AS INTEGER) AS ord FROM d WHERE n = 1 OR source IS NULL),
+f AS (SELECT *, sum(length(text)) OVER (PARTITION BY qid ORDER BY ord) AS run FROM e)
+SELECT qid, ord, id, round(score, 6) AS score, source, lang FROM (SELECT qid, ord, id, score, source, 'en' AS lang, run FROM f) WHERE (ord = 1 OR run <= 20000) AND ord <= 5""")
+def search_composed(spark, sf_dir):
+    """Search over a store: keywords of English documents, one hit for each source, at most 20,000 characters."""
+    from ..model import Field
+    from ..sources.store import Store
+    from .search import KeywordSource, Search
+
+    store = Store(spark, _scratch(spark), "searched", [Field("lang", "text"), Field("source", "text")])
+    with store.transaction():
+        store.upsert(items(spark, sf_dir).select("id", "text", "lang", "source"))
+    search = Search(store, sources=[KeywordSource(store)], base_filter=p.eq("lang", "en"), distinct_by="source", max_chars=20000, depth=20)
+    hits = search.run(_benchmark(spark, sf_dir), 5).hits
+    return hits.select("qid", "ord", "id", F.round("score", 6).alias("score"), "source", "lang")
+
+
+@query("""
+WITH n AS (SELECT count(*) AS a, count(*) FILTER (WHERE doc_id % 3 <> 0) AS b, count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id IN (SELECT vec_id FROM embeddings)) AS c, count(*) FILTER (WHERE doc_id IN (SELECT vec_id FROM embeddings)) AS v FROM documents)
+SELECT 1 AS step, 'upsert' AS what, a AS items, 0::BIGINT AS vectors, a AS missing, true AS stale FROM n
+UNION ALL SELECT 2, 'add_vectors', a, v, a - v, true FROM n
+UNION ALL SELECT 3, 'remove', b, c, b - c, true FROM n
+UNION ALL SELECT 4, 'sync', b, c, b - c, false FROM n
+UNION ALL SELECT 5, 'clear', 0, 0, 0, false FROM n""")
+def store_lifecycle(spark, sf_dir):
+    """What a store holds after each of five transactions: items, vectors, items without one, and whether its keywords are stale."""
+    from ..model import VectorSpace
+    from ..sources.store import Store, Vectors
+
+    store, docs, rows = Store(spark, _scratch(spark), "lived"), items(spark, sf_dir).select("id", "text"), []
+    have = _vectors(spark, sf_dir).select("id", "vec").join(docs.select("id"), "id", "left_semi")
+
+    def after(what: str) -> None:
+        rows.append((len(rows) + 1, what, store.items.count(), store.vectors.count(), store.missing_vectors().count(), store.keywords_stale))
+
+    with store.transaction():
+        store.defer_keywords()
+        store.upsert(docs)
+    after("upsert")
+    with store.transaction():
+        store.add_vectors(Vectors(VectorSpace("given", "table", dims=64), have))
+    after("add_vectors")
+    with store.transaction():
+        store.remove(docs.where("id % 3 = 0").select("id"))
+    after("remove")
+    with store.transaction():
+        store.sync_keywords()
+    after("sync")
+    with store.transaction():
+        store.clear()
+    after("clear")
+    return spark.createDataFrame(rows, "step int, what string, items bigint, vectors bigint, missing bigint, stale boolean")
+
+
 # -- chunking ----------------------------------------------------------------------------
 
 #: Lines are folded into chunks row by row; the texts of this table have no headings, fences or blank lines.

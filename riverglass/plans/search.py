@@ -47,6 +47,12 @@ class Result:
 
     hits: DataFrame
     warnings: list[str] = field(default_factory=list)
+    held: list[DataFrame] = field(default_factory=list, repr=False)
+
+    def release(self) -> None:
+        """Lets go of the lists and candidates that are kept for hits; they are made again if it is read later."""
+        while self.held:
+            self.held.pop().unpersist()
 
 
 class Search:
@@ -76,9 +82,9 @@ class Search:
         parts = [f for f in (self.base_filter, flt) if f is not None]
         scope = and_(*parts) if parts else None
         compiled = compile_filter(scope, self.store.kinds)
-        depth, warnings = 4 * k if self.depth is None else self.depth, []
+        depth, warnings, self._held = 4 * k if self.depth is None else self.depth, [], []
         lists = self._lists(queries, depth, scope, warnings)
-        fused = self.fuser(lists).persist()
+        fused = self._hold(self.fuser(lists))
         fusion.check_fused(fused, lists)
         told = fusion.with_evidence(fused.where(F.col("rank") <= depth), lists)
         candidates, hydrated = self._hydrated(told, compiled, warnings)
@@ -91,14 +97,18 @@ class Search:
         candidates = self._packed(candidates, k, warnings)
         hits = candidates.where(F.col("ord") <= k)
         cited = F.struct(*(F.col(c) for c in self.citation)) if self.citation else F.lit(None)
-        return Result(hits.select("qid", "ord", "id", "score", "text", *self.store.kinds, "extra", cited.alias("citation"), "evidence"), warnings)
+        return Result(hits.select("qid", "ord", "id", "score", "text", *self.store.kinds, "extra", cited.alias("citation"), "evidence"), warnings, self._held)
+
+    def _hold(self, df: DataFrame) -> DataFrame:
+        self._held.append(df.persist())
+        return df
 
     def _lists(self, queries: DataFrame, depth: int, scope: Filter | None, warnings: list[str]) -> DataFrame:
         lists, errors = [], []
         for source in self.sources:
             try:
                 own: list[str] = []
-                found = source.search(queries, depth, scope, own).persist()
+                found = self._hold(source.search(queries, depth, scope, own))
                 found.count()
                 lists.append(found)
                 warnings += own
@@ -120,7 +130,7 @@ class Search:
         needs = {"text", "metadata"}.union(*(r.needs for r in self.rerankers))
         ids = fused.select("id").distinct()
         allowed = compiled.apply(self.store.items.join(ids, "id", "left_semi")).select("id")
-        rows = fused.withColumnRenamed("rank", "ord").join(self.store.fetch(allowed, needs), "id").persist()
+        rows = self._hold(fused.withColumnRenamed("rank", "ord").join(self.store.fetch(allowed, needs), "id"))
         dropped = fused.count() - rows.count()
         if dropped:
             warnings.append(f"{dropped} candidates were outside the filter or not in the store and were dropped")
@@ -129,7 +139,7 @@ class Search:
     def _reranked(self, reranker: Reranker, before: DataFrame, queries: DataFrame) -> DataFrame:
         """The reranker's order and scores; all other columns stay those of the candidates."""
         name = type(reranker).__name__
-        after = reranker.rerank(before, queries).select("qid", "id", "ord", "score").persist()
+        after = self._hold(reranker.rerank(before, queries).select("qid", "id", "ord", "score"))
         if after.groupBy("qid", "id").count().where("count > 1").limit(1).collect() or after.join(before, ["qid", "id"], "left_anti").limit(1).collect():
             raise ValueError(f"{name} added or repeated ids")
         if after.where(~finite(F.col("score"))).limit(1).collect():
@@ -140,7 +150,7 @@ class Search:
         if self.distinct_by is not None:
             candidates = packing.distinct_by(candidates, self.distinct_by)
         if self.max_chars is not None and k:
-            candidates = packing.within(candidates, self.max_chars).persist()
+            candidates = self._hold(packing.within(candidates, self.max_chars))
             for r in candidates.where((F.col("ord") == 1) & (F.char_length("text") > self.max_chars)).select("qid", F.char_length("text").alias("n")).orderBy("qid").collect():
                 warnings.append(f"the first hit of {r.qid} alone has {r.n} characters, over max_chars {self.max_chars}")
         return candidates

@@ -33,7 +33,7 @@ from ..operators.predicates import Filter, compile_filter
 from .encoders import Encoder, with_vectors
 from .storage import Storage
 
-LAYOUT = 1
+LAYOUT = 2
 _BASE = [T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("keywords", T.StringType()), T.StructField("keyword_override", T.StringType())]
 
 
@@ -80,6 +80,12 @@ class _Draft:
 
     def __init__(self, meta: Meta, items: DataFrame, vectors: DataFrame):
         self.meta, self.items, self.vectors, self.touched = meta, items, vectors, False
+        self.held: list[DataFrame] = []
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        """df, kept until the transaction ends."""
+        self.held.append(df.persist())
+        return df
 
 
 class Store:
@@ -147,13 +153,17 @@ class Store:
         if self.draft:
             raise RuntimeError("a transaction is open")
         self.draft = _Draft(self.meta, self.items, self.vectors)
+        draft = self.draft
         try:
-            yield self
-            draft = self.draft
+            try:
+                yield self
+            finally:
+                self.draft = None
+            if draft.touched:
+                self._commit(draft)
         finally:
-            draft_, self.draft = self.draft, None
-        if draft_.touched:
-            self._commit(draft)
+            for df in draft.held:
+                df.unpersist()
 
     def _commit(self, draft: _Draft) -> None:
         n = self.meta.generation + 1
@@ -196,7 +206,9 @@ class Store:
             if missing:
                 raise ValueError(f"items lack {sorted(missing)}")
             rows = items.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in items.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema))
-            return rows.dropDuplicates(["id"])
+            names = rows.columns
+            last = F.max_by(F.struct(*(F.col(f"`{c}`") for c in names)), "__at").alias("__row")
+            return rows.withColumn("__at", F.monotonically_increasing_id()).groupBy(F.col("id").alias("__id")).agg(last).select("__row.*").select(*(f"`{c}`" for c in names))
         made = {item.id: self._row(item) for item in items}
         return self.spark.createDataFrame(list(made.values()), self.schema)
 
@@ -241,7 +253,7 @@ class Store:
         return rows.dropDuplicates(["id"]).select("id", normalised("vec").cast("array<float>").alias("vec"))
 
     def _bump(self, draft: _Draft, items: DataFrame, vectors: DataFrame, vectors_of: Vectors | None) -> None:
-        items, vectors = items.persist(), vectors.persist()
+        items, vectors = draft.hold(items), draft.hold(vectors)
         meta = draft.meta
         if vectors.isEmpty():
             meta = replace(meta, space=None, canary=None, embedded_at=None)
@@ -253,7 +265,7 @@ class Store:
         """Inserts or replaces by id. Without vectors the items' old ones go. An empty batch changes nothing."""
         draft = self._draft()
         self._check_space()
-        rows = self._rows(items).persist()
+        rows = draft.hold(self._rows(items))
         if rows.where("id is null or text is null").limit(1).collect():
             raise ValueError("items need an id and a text")
         if rows.isEmpty():
@@ -356,7 +368,7 @@ class Store:
             raise StaleKeywords("keywords were deferred; call sync_keywords()")
         if self.draft or self.folder is None:
             return keyword.build_index(self._keyword_rows(self.items), self.tokenizer)
-        postings = self._table("postings", "term string, id bigint, tf bigint, positions array<int>")
+        postings = self._table("postings", "term string, id bigint, dl int, tf bigint, positions array<int>")
         return keyword.Index(postings, self._table("lengths", "id bigint, dl int"), self.tokenizer)
 
     def search_keyword(self, queries: DataFrame, k: int, flt: Filter | None = None) -> DataFrame:

@@ -121,3 +121,21 @@ def test_cache(spark):
     for key, size in ((1, 10), (1, 10), (2, 10), (3, 10), (1, 10), (9, 1000), (9, 1000)):
         cache.get((key,), make, lambda df, size=size: size)
     assert len(made) == 6 and [k for (k,) in cache.held] == [3, 1]
+
+
+def test_best_of_blocks_with_ties():
+    import numpy as np
+
+    from riverglass.operators import knn
+
+    rng = np.random.default_rng(2)
+    for k in (1, 3, 7):
+        ids, scores = np.zeros((5, k), np.int64), np.full((5, k), -np.inf)
+        all_ids, all_scores = np.zeros(0, np.int64), np.zeros((5, 0))
+        for n in (2, 1, 50, 4, 30):
+            more, block = rng.permutation(1000)[:n] + 1000 * len(all_ids), np.round(rng.normal(size=(5, n)), 1)
+            ids, scores = knn._kept(ids, scores, more, block, k)
+            all_ids, all_scores = np.concatenate((all_ids, more)), np.concatenate((all_scores, block), 1)
+        for q in range(5):
+            want = sorted(zip(-all_scores[q], all_ids, strict=True))[:k]
+            assert [(-s, i) for s, i in zip(scores[q], ids[q], strict=True)] == [(float(s), i) for s, i in want]

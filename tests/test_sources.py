@@ -206,3 +206,42 @@ def test_replay_split_tune(spark):
     assert train.count() + test.count() == 200 and 30 <= test.count() <= 90 and again.collect() == test.collect()
     with pytest.raises(ValueError):
         evaluation.split(q.unionByName(q))
+
+
+def test_contents_reads_only_what_was_found(spark, tmp_path):
+    from riverglass.sources import files
+
+    for name, data in (("a.txt", b"one"), ("skip.log", b"no"), ("d/b.txt", "z\u00e9 \n".encode()), (".git/x.txt", b"never"), ("bad.txt", b"\xffx")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / ".gitignore").write_text("*.log\n.gitignore\n")
+    found = files.discover(spark, str(tmp_path))
+    got = {r.path: r.text for r in files.contents(spark, str(tmp_path), found).collect()}
+    assert got == {"a.txt": "one", "d/b.txt": "z\u00e9 \n", "bad.txt": "\ufffdx"}
+    (tmp_path / "a.txt").unlink()
+    gone = spark.createDataFrame([("a.txt",), ("bad.txt",)], "path string")
+    assert [r.path for r in files.contents(spark, str(tmp_path), gone).collect()] == ["bad.txt"]
+
+
+def test_a_slow_cutter_falls_back():
+    import time
+
+    from riverglass.operators import chunking
+
+    def pieces(text, language, target):
+        time.sleep(0.3 if "slow" in text else 0)
+        return [chunking.Piece(0), chunking.Piece(4)]
+
+    cut = chunking.PieceChunker(8, pieces=pieces, parse_timeout_ms=100)
+    assert [c.text for c in cut.chunk("abc defg hi"[:8], "py")] == ["abc defg"]
+    assert [c.text for c in cut.chunk("slow abc defg", "py")] == [c.text for c in cut.fallback.chunk("slow abc defg")]
+    with pytest.raises(ZeroDivisionError):
+        chunking.PieceChunker(8, pieces=lambda *_: 1 / 0).chunk("abc", "py")
+
+
+def test_bounded_spans_cut_where_characters_start():
+    from riverglass.operators import chunking
+
+    data = "a\u00e9\u4e2d\U0001f642b".encode()
+    got = list(chunking.bounded_spans([(0, len(data)), (0, 0)], 4, data))
+    assert [data[a:b].decode() for a, b in got] == ["a\u00e9", "\u4e2d", "\U0001f642", "b"]

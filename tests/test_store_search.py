@@ -237,3 +237,15 @@ def test_hash_encoder():
     e = HashEncoder(8, doc_prefix="d: ")
     assert e.encode(["x"])[0] == [b / 255 - 0.5 for b in hashlib.blake2b(b"d: x", digest_size=8).digest()] and e.encode(["x"]) != e.encode_query(["x"])
     assert len(HashEncoder(100).encode(["x"])[0]) == 100
+
+
+def test_the_last_of_repeated_rows_counts_and_nothing_stays_in_memory(spark, tmp_path):
+    from riverglass.model import Field
+    from riverglass.sources.store import Store
+
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    store = Store(spark, f"file://{tmp_path}", "repeated", [Field("n", "int")])
+    with store.transaction():
+        store.upsert(spark.createDataFrame([(1, "a", 1), (2, "b", 2), (1, "c", 3)], "id bigint, text string, n bigint").coalesce(1))
+    assert sorted((r.id, r.text, r.n) for r in store.items.collect()) == [(1, "c", 3), (2, "b", 2)]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
