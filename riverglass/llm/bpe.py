@@ -15,9 +15,11 @@ from .word_table import WordTable, pieces_of
 #: Bytes of rows whose words or pieces are held at a time: as Python objects they take many times as much.
 PIECE_BYTES = 2 << 20
 #: Characters of distinct words that a task holds before it tells them.
-WORDS_HELD = 8 << 20
+WORDS_HELD = 4 << 20
 #: The table that is broadcast: words at most, and bytes of each.
-TABLE_WORDS, TABLE_WORD = 1 << 18, 64
+TABLE_WORDS, TABLE_WORD = 1 << 17, 64
+#: Words that a task keeps beside the table, and their characters.
+OWN_WORDS, OWN_CHARS = 60_000, 4 << 20
 
 
 def distinct_words(documents: DataFrame, path: str) -> DataFrame:
@@ -87,7 +89,7 @@ def encode(documents: DataFrame, path: str, *, carry: tuple[str, ...] = ()) -> D
     sent = documents.sparkSession.sparkContext.broadcast(word_table(documents, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTable(path, sent.value)
+        words = WordTable(path, sent.value, OWN_WORDS, OWN_CHARS)
         for batch in batches:
             for b in pieces(batch, PIECE_BYTES):
                 split = [words.chunks(t or "") for t in b.column(1).to_pylist()]

@@ -27,7 +27,7 @@ BUCKETS = 1 << 20
 BITS_A_TOKEN, BITS_BYTES = 16, 32 << 20
 #: Sets that share a token are paired directly up to so many; larger groups are compared by what sets them apart.
 LARGE = 48
-_MOST = 200_000
+_MOST = 120_000
 _MIX = [np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 

@@ -50,18 +50,19 @@ class Features:
     """Features of texts by way of their distinct tokens; chosen: the features kept, or None for all."""
 
     def __init__(self, chosen: dict[str, int] | None):
-        self.chosen, self.seen, self.hot = chosen, set(), {}
+        self.chosen, self.seen, self.hot, self.same = chosen, set(), {}, {}
 
     def of(self, text: str | None) -> set:
         tokens = set((text or "").lower().split())
         if len(self.seen) > _MOST:
-            self.seen, self.hot = set(), {}
+            self.seen, self.hot, self.same = set(), {}, {}
         for token in tokens.difference(self.seen):
             found = {f for w in _LETTERS(token) for f in word_features(w)}
             if self.chosen is not None:
                 found = {self.chosen[f] for f in found if f in self.chosen}
-            if found:
-                self.hot[token] = found
+            if found:  # kept as tuples, once for all tokens with these features: sets take several times as much
+                few = tuple(sorted(found))
+                self.hot[token] = self.same.setdefault(few, few)
         self.seen |= tokens
         return set().union(*[self.hot[t] for t in tokens if t in self.hot])
 
