@@ -62,17 +62,22 @@ class PerfectHash:
             pos = self._pos(keys[open_], level, size)
             hit = (bits[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1 == 1
             p = pos[hit]
-            start = (p // self.BLOCK) * self.BLOCK
-            inside = np.fromiter((self._ones(bits, int(a), int(b)) for a, b in zip(start, p, strict=True)), np.int64, len(p))
-            out[open_[hit]] = ranks[p // self.BLOCK].astype(np.int64) + inside
+            out[open_[hit]] = ranks[p // self.BLOCK].astype(np.int64) + self._ones(bits, p)
             open_ = open_[~hit]
             if not len(open_):
                 break
         return out
 
-    @staticmethod
-    def _ones(bits: np.ndarray, a: int, b: int) -> int:
-        return (int.from_bytes(bits[a >> 3 : (b + 7) >> 3].tobytes(), "little") & ((1 << (b - a)) - 1)).bit_count()
+    @classmethod
+    def _ones(cls, bits: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """How many bits are set from the start of each place's block up to the place."""
+        size = cls.BLOCK // 8
+        blocks = np.zeros((-(-len(bits) // size), size), np.uint8)
+        blocks.ravel()[: len(bits)] = bits
+        before = np.concatenate((np.zeros((len(blocks), 1), np.int64), np.cumsum(np.bitwise_count(blocks), 1, dtype=np.int64)), 1)
+        place = p % cls.BLOCK
+        last = bits[p >> 3] & ((1 << (p & 7)) - 1).astype(np.uint8)
+        return before[p // cls.BLOCK, place >> 3] + np.bitwise_count(last)
 
 
 class LineIndex:
@@ -127,8 +132,8 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([t.column("shard")[0].as_py()], pa.int32()), pa.array([pickle.dumps(index)], pa.binary())], ["shard", "blob"])
 
 
-def line_index(documents: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame, int]:
-    """(line rows, shards, number of shards). The shards (shard, blob) hold every distinct line of at least min_docs documents.
+def line_index(documents: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, Saved, int]:
+    """(line rows, shards as a saved table, number of shards). The shards (shard, blob) hold every distinct line of at least min_docs documents.
 
     Counts are summed map-side before the one shuffle, so a line in a third of all documents is one row
     for each task. A line seen in fewer documents decides nothing and is left out; its probes fail on the
@@ -136,10 +141,13 @@ def line_index(documents: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: in
     """
     lines = lean(documents).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidied(_line_rows(min_chars)), "doc_id bigint, h1 bigint, h2 bigint")
     counted = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("doc_id"), F.lit(-(2**63))).alias("keeper")).where(F.col("n") >= min_docs)
-    counts = Saved(counted, "line-counts").df
+    held = Saved(counted, "line-counts")
+    counts = held.df
     n_shards = max(1, -(-counts.count() // SHARD_KEYS))
     shards = counts.withColumn("shard", F.pmod(F.xxhash64("h1"), F.lit(n_shards)).cast("int")).groupBy("shard").applyInArrow(_build_table, "shard int, blob binary")
-    return lines, Saved(shards, "line-index").df, n_shards
+    index = Saved(shards, "line-index")
+    held.drop()
+    return lines, index, n_shards
 
 
 def _build_table(t: pa.Table) -> pa.Table:
@@ -236,20 +244,22 @@ def dedup_lines(documents: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: i
     spark = documents.sparkSession
     kinds = dict(documents.dtypes)
     schema = OUT + "".join(f", `__{c}` {kinds[c]}" for c in carry)
-    lines, shards, n_shards = line_index(documents, min_chars=min_chars, min_docs=min_docs)
+    lines, index, n_shards = line_index(documents, min_chars=min_chars, min_docs=min_docs)
+    shards = index.df
     docs = lean(documents).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", *(f"`{c}` as `__{c}`" for c in carry))
     rest = lambda b: {f"__{c}": b.column(f"__{c}") for c in carry}
     names = lambda df: df.withColumnsRenamed(carried(carry, ("doc_id", "n_lines", "n_dropped", "text")))
     if (shards.agg(F.sum(F.length("blob"))).first()[0] or 0) <= broadcast_bytes:
         blobs = spark.sparkContext.broadcast({r.shard: bytes(r.blob) for r in shards.collect()})  # at most broadcast_bytes
+        index.drop()
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = _FromIndex(blobs.value, n_shards, min_chars)
+            held = _FromIndex(blobs.value, n_shards, min_chars)
             for batch in batches:
                 for b in pieces(batch):
                     ids = b.column(0).to_pylist()
-                    index.ids = np.array([-(2**63) if i is None else i for i in ids], np.int64)
-                    yield _rewrite(ids, b.column(1).to_pylist(), rest(b), index)
+                    held.ids = np.array([-(2**63) if i is None else i for i in ids], np.int64)
+                    yield _rewrite(ids, b.column(1).to_pylist(), rest(b), held)
 
         return names(docs.mapInArrow(tidied(whole), schema))
 
