@@ -21,7 +21,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that all stages keep, with n_tokens and ids_sha256 of their texts."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, function in STAGES:
-        docs = Saved(function(spark, docs, sf_dir), f"stage-{name}").df
+        kept = Saved(function(spark, docs, sf_dir), f"stage-{name}")
+        docs = kept.df
+        if before is not None:
+            before.drop()  # its reader is done
+        before = kept
     return docs
