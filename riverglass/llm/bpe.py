@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,23 +84,44 @@ def encode(documents: DataFrame, path: str, *, carry: tuple[str, ...] = ()) -> D
 
     Null and empty texts have no ids. Strings of special tokens inside a text become their ids, none are
     added. Very long texts are handled whole, null ids stay null, repeated rows keep a row each, empty
-    tables give no rows, other columns than those in carry are not read; a carried doc_id or ids gets a _ after it.
+    tables give no rows, other columns than those in carry are not read; a carried doc_id, ids or decoded gets a _ after it.
     """
+    read, sent, schema, names = _asked(documents, path, carry)
+    return read.mapInArrow(tidied(lambda batches: _encoded(batches, path, sent.value)), schema).withColumnsRenamed(names)
+
+
+def _asked(documents: DataFrame, path: str, carry: tuple[str, ...]) -> tuple[DataFrame, Broadcast, str, dict[str, str]]:
+    """What is read of the documents, the table of words, and the result's schema with the names of what is carried."""
     kinds = dict(documents.dtypes)
     sent = documents.sparkSession.sparkContext.broadcast(word_table(documents, path))
+    read = lean(documents).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", *(f"`{c}` as `__{c}`" for c in carry))
+    return read, sent, "doc_id bigint, ids binary" + "".join(f", `__{c}` {kinds[c]}" for c in carry), carried(carry, ("doc_id", "ids", "decoded"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTable(path, sent.value, OWN_WORDS, OWN_CHARS)
-        for batch in batches:
-            for b in pieces(batch, PIECE_BYTES):
-                split = [words.chunks(t or "") for t in b.column(1).to_pylist()]
-                find = words.ids(split).__getitem__
-                ids = [b"".join(map(find, s)) for s in split]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), *b.columns[2:]], ["doc_id", "ids", *b.schema.names[2:]])
 
-    read = lean(documents).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", *(f"`{c}` as `__{c}`" for c in carry))
-    schema = "doc_id bigint, ids binary" + "".join(f", `__{c}` {kinds[c]}" for c in carry)
-    return read.mapInArrow(tidied(run), schema).withColumnsRenamed(carried(carry, ("doc_id", "ids")))
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, given: dict[str, bytes]) -> Iterator[pa.RecordBatch]:
+    words = WordTable(path, given, OWN_WORDS, OWN_CHARS)
+    for batch in batches:
+        for b in pieces(batch, PIECE_BYTES):
+            split = [words.chunks(t or "") for t in b.column(1).to_pylist()]
+            find = words.ids(split).__getitem__
+            ids = [b"".join(map(find, s)) for s in split]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), *b.columns[2:]], ["doc_id", "ids", *b.schema.names[2:]])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    from tokenizers import Tokenizer
+
+    piece = pieces_of(Tokenizer.from_file(path)).__getitem__
+    for batch in batches:
+        for b in pieces(batch, PIECE_BYTES):
+            found = [b"".join(map(piece, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in b.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], [*b.schema.names, "decoded"])
+
+
+def round_trip(documents: DataFrame, path: str, *, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ids, *carry, decoded): decode(encode()) in one pass, so that a task has one worker instead of two."""
+    read, sent, schema, names = _asked(documents, path, carry)
+    return read.mapInArrow(tidied(lambda batches: _decoded(_encoded(batches, path, sent.value), path)), schema + ", decoded string").withColumnsRenamed(names)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -111,23 +133,14 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     encoded = encoded.drop("decoded")
     schema = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes) + ", decoded string"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        piece = pieces_of(Tokenizer.from_file(path)).__getitem__
-        for batch in batches:
-            for b in pieces(batch, PIECE_BYTES):
-                found = [b"".join(map(piece, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in b.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], [*b.schema.names, "decoded"])
-
-    return encoded.mapInArrow(tidied(run), schema)
+    return encoded.mapInArrow(tidied(lambda batches: _decoded(batches, path)), schema)
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return decode(encode(table(spark, sf_dir, "documents"), path), path).select(
+    return round_trip(table(spark, sf_dir, "documents"), path).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -141,5 +154,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows, hidden = aside(docs.drop("n_tokens", "ids_sha256"))
-    out = decode(encode(rows, path, carry=tuple(h for h in hidden if h not in ("doc_id", "text"))), path).withColumn("text", F.col("decoded"))
+    out = round_trip(rows, path, carry=tuple(h for h in hidden if h not in ("doc_id", "text"))).withColumn("text", F.col("decoded"))
     return out.select(*restored(out, hidden), (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))

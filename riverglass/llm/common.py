@@ -65,6 +65,11 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return Saved(df, tag).df
 
 
+def named(column: str) -> str:
+    """The column's name as an expression, whatever characters it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def aside(docs: DataFrame, own: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, dict[str, str]]:
     """docs with every column but its own under a name that no operator adds, and those names with the old ones, in order."""
     hidden = {c if c in own else f"__aside_{k}": c for k, c in enumerate(docs.columns)}
@@ -92,7 +97,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """
     table = Saved(gone.select(F.col("doc_id").alias("__gone")), "gone-ids").df
     few = table.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(table) if few else table, docs.doc_id == table["__gone"], "left_anti").select(*(docs[c] for c in docs.columns))
+    return docs.join(F.broadcast(table) if few else table, docs.doc_id == table["__gone"], "left_anti").select(*(docs[named(c)] for c in docs.columns))
 
 
 def lean(df: DataFrame) -> DataFrame:

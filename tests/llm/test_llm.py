@@ -411,7 +411,9 @@ def test_encode_and_decode_agree_with_the_library(spark):
         ids = tok.encode(text or "", add_special_tokens=False).ids
         assert (r.doc_id, r.lang, np.frombuffer(r.ids, "<u4").tolist()) == (doc, "x", ids)
         assert r.decoded == tok.decode(ids, skip_special_tokens=False) == (text or "")
-    assert bpe.decode(bpe.encode(docs(spark, []), path), path).count() == 0
+    assert bpe.decode(bpe.encode(docs(spark, []), path), path).count() == bpe.round_trip(docs(spark, []), path).count() == 0
+    once = rows_of(bpe.round_trip(docs(spark, TEXTS), path, carry=("lang", "n")))
+    assert once == rows_of(bpe.decode(bpe.encode(docs(spark, TEXTS), path, carry=("lang", "n")), path))
 
 
 FOREIGN = ["Ένα μικρό χωριό, ΣΑΣ δίπλα στη θάλασσα.", "Маленькая деревня у моря; 12 домов!", "小さな村は海のそばに、あります。人々は魚を売る。", "plain words 🙂→ and ❤️ arrows", "e\u0301le\u0300ve x\u0323\u0301 İstanbul ñandú", "한국어 각 \u1100\u1161\u11a8 말", "नमस्ते दुनिया  كتاب\u00a0جديد"]
