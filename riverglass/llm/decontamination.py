@@ -64,7 +64,7 @@ def _glued(t: Column) -> Column:
 
 def _collapsed(kinds: Column) -> Column:
     """A template with one placeholder for each run of them."""
-    return F.regexp_replace(kinds, f"{_PLACE}(?: {_PLACE})*", "<slot>")
+    return F.regexp_replace(kinds, f"{_PLACE}(?: {_PLACE})*+", "<slot>")  # possessive: else Java goes one call deeper for each placeholder
 
 
 def _listed(words: Column, full: Column) -> Column:

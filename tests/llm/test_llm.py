@@ -229,6 +229,13 @@ def test_a_token_more_or_less_inside(spark):
     assert got == set(range(len(rows)))
 
 
+def test_long_runs_of_placeholders(spark):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
+    numbers = " ".join(map(str, range(60_000)))
+    rows = [(1, numbers), (2, f"{numbers} . {ITEM}"), (3, f"{ITEM} . {'So Anna met Robert Miller 12 km away ' * 9_000}"), (4, "Anna " * 60_000)]
+    assert {r.doc_id for r in decontamination.matches(docs(spark, rows), bench).collect()} == {2, 3}
+
+
 # -- 4: media
 
 
