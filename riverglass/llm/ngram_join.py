@@ -16,8 +16,8 @@ from .common import Saved, lean, mix64, pieces, table, tidied, without
 WORDS, LEAST = 4, (85, 100)
 #: The same for the pipeline's stage: what counts as a near copy there.
 STAGE_WORDS, STAGE_LEAST = 5, (80, 100)
-#: Cells of the table of counts that orders the shingles: rare cells first. Its size never depends on the input.
-CELLS = 1 << 20
+#: Cells of the table of counts that orders the shingles, rare cells first: at least and at most; and the bytes of text for each between.
+CELLS, MOST_CELLS, CELL_BYTES = 1 << 20, 1 << 24, 256
 _PARTS = 16
 #: Global orders: within a level of frequency each has its own pseudo-random sequence.
 SEEDS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -58,8 +58,8 @@ class Shingler:
         return np.unique(mix64(total))
 
 
-def _cells(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+def _cells(h: np.ndarray, cells: int) -> np.ndarray:
+    return (h >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
 
 
 def _ceil(a, b):
@@ -70,51 +70,64 @@ def _texts(documents: DataFrame) -> DataFrame:
     return lean(documents).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
 
 
+def _table_size(documents: DataFrame) -> int:
+    """Cells for these documents: in a table too small for them all cells look alike, and common shingles come first as often as rare ones."""
+    size = documents.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return min(MOST_CELLS, max(CELLS, 1 << (size // CELL_BYTES).bit_length()))
+
+
+def _planes(counts: np.ndarray) -> bytes:
+    """The counts bit by bit, lowest bits first: those of high bits are nearly all 0 and take no room once compressed."""
+    return b"".join(np.packbits((counts >> k & 1).astype(np.uint8)).tobytes() for k in range(int(counts.max(initial=0)).bit_length()))
+
+
+def _counts(planes: bytes, n: int) -> np.ndarray:
+    out = np.zeros(n, np.int64)
+    for k, bits in enumerate(np.frombuffer(planes, np.uint8).reshape(-1, n // 8)):
+        out += np.unpackbits(bits).astype(np.int64) << k
+    return out
+
+
 def frequency_levels(documents: DataFrame, words: int = WORDS) -> np.ndarray:
     """For each cell of hashes, the number of binary digits of how many documents' shingles fall into it.
 
     Counts of all documents are summed in two steps over parts of the table, by groups whose size follows
-    the number of tasks; the driver gets CELLS small numbers.
+    the number of tasks; the driver gets at most MOST_CELLS small numbers.
     """
+    cells = _table_size(documents)
+    size = cells // _PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shingler, seen = Shingler(words), np.zeros(CELLS, np.int64)
+        shingler, seen = Shingler(words), np.zeros(cells, np.uint32)
         for batch in batches:
             for b in pieces(batch):
                 found = [shingler.of(t) for t in b.column(0).to_pylist()]
                 if found:
-                    seen += np.bincount(_cells(np.concatenate(found)), minlength=CELLS)
+                    np.add.at(seen, _cells(np.concatenate(found), cells), np.uint32(1))
         if seen.any():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId() % 64] * _PARTS, pa.int32()), pa.array(range(_PARTS), pa.int32()), pa.array([p.astype(_width(p)).tobytes() for p in np.split(seen, _PARTS)], pa.binary())],
+                [pa.array([TaskContext.get().partitionId() % 64] * _PARTS, pa.int32()), pa.array(range(_PARTS), pa.int32()), pa.array([_planes(p) for p in np.split(seen, _PARTS)], pa.binary())],
                 ["salt", "part", "counts"],
             )
 
     def add(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS // _PARTS, np.int64)
+        total = np.zeros(size, np.int64)
         for b in batches:
             for x in b.column("counts").to_pylist():
-                total += np.frombuffer(x, f"<u{len(x) * _PARTS // CELLS}")
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([key[-1].as_py()], pa.int32()), pa.array([total.astype(_width(total)).tobytes()], pa.binary())], ["salt", "part", "counts"])
+                total += _counts(x, size)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([key[-1].as_py()], pa.int32()), pa.array([_planes(total)], pa.binary())], ["salt", "part", "counts"])
 
     schema = "salt int, part int, counts binary"
     parts = lean(documents).selectExpr("cast(text as string) text").mapInArrow(tidied(count), schema)
     sums = parts.groupBy("salt", "part").applyInArrow(_grouped(add), schema).groupBy("part").applyInArrow(_grouped(add), schema).collect()
-    levels = np.zeros(CELLS, np.uint8)
+    levels = np.zeros(cells, np.uint8)
     for r in sums:
-        size = CELLS // _PARTS
-        counts = np.frombuffer(r.counts, f"<u{len(r.counts) // size}").astype(np.float64)
-        levels[r.part * size : (r.part + 1) * size] = np.frexp(counts)[1]
+        levels[r.part * size : (r.part + 1) * size] = np.frexp(_counts(r.counts, size).astype(np.float64))[1]
     return levels
 
 
-def _width(x: np.ndarray) -> str:
-    most = int(x.max(initial=0))
-    return "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8"
-
-
 def _grouped(add):
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from add(key, batches)
@@ -129,7 +142,7 @@ def _marks(documents: DataFrame, levels: np.ndarray, least: tuple[int, int], wor
     The prefixes come once for each digest and task; equal sets are one class from here on.
     """
     a, b = least
-    sent = documents.sparkSession.sparkContext.broadcast(levels)  # CELLS bytes
+    sent = documents.sparkSession.sparkContext.broadcast(levels)  # at most MOST_CELLS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, known, level = Shingler(words), set(), sent.value
@@ -145,7 +158,7 @@ def _marks(documents: DataFrame, levels: np.ndarray, least: tuple[int, int], wor
                         known.add(d)
                         if len(known) > _MOST:
                             known.clear()
-                        top = level[_cells(h)].astype(np.uint64) << np.uint64(58)
+                        top = level[_cells(h, len(level))].astype(np.uint64) << np.uint64(58)
                         keep = len(h) - _ceil(a * len(h), b) + 1
                         for k, seed in enumerate(SEEDS):
                             own = h if not seed else mix64(h ^ np.uint64(seed))
@@ -363,7 +376,7 @@ class Join:
         Whatever the centre, two sets link exactly if 2 (a + b) |D1 & D2| >= w1 + w2 with w = (a + b) |D| - (b - a) n.
         """
         a, b = self.least
-        sent = members.sparkSession.sparkContext.broadcast(self.levels)  # CELLS bytes
+        sent = members.sparkSession.sparkContext.broadcast(self.levels)  # at most MOST_CELLS bytes
 
         def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             level = sent.value
@@ -372,7 +385,7 @@ class Join:
                     out = []
                     for s, c in zip(p.column("s").to_pylist(), p.column("centre").to_pylist(), strict=True):
                         d = np.setxor1d(np.frombuffer(s, np.uint64), np.array(c or [], np.int64).view(np.uint64))
-                        top = level[_cells(d)].astype(np.uint64) << np.uint64(58)
+                        top = level[_cells(d, len(level))].astype(np.uint64) << np.uint64(58)
                         out.append(d[np.argsort(top | (d >> np.uint64(6)), kind="stable")].view(np.int64))
                     yield pa.RecordBatch.from_arrays([p.column("g"), p.column("v"), p.column("n"), pa.array(out, pa.list_(pa.int64()))], ["g", "v", "n", "d"])
 

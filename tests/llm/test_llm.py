@@ -573,6 +573,15 @@ def test_components_of_large_families(spark, large):
     assert got == brute_components(rows) and len({c for _, c in got.values()}) > 20
 
 
+def test_table_of_counts_follows_the_input(spark):
+    long = spark.range(300).selectExpr("id as doc_id", "repeat('a', 1000000) as text")
+    assert len(ngram_join.frequency_levels(long)) == 1 << 21
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    levels, shingler = ngram_join.frequency_levels(d), ngram_join.Shingler()
+    counts = Counter(int(h) >> 44 for r in d.collect() for h in shingler.of(r.text))
+    assert len(levels) == 1 << 20 and {k: v for k, v in enumerate(levels.tolist()) if v} == {k: n.bit_length() for k, n in counts.items()}
+
+
 def test_components_odd_rows(spark):
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs(spark, ODD)).collect())
     assert got[(5, 1, 5)] == 2 and got[(None, 1, None)] == 1 and got[(2, 0, 2)] == got[(3, 0, 3)] == got[(4, 0, 4)] == 1 and sum(got.values()) == len(ODD)
