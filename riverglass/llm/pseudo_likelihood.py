@@ -27,8 +27,8 @@ SUFFIXES = 64
 WINDOW = (-2, -1, 1, 2)
 #: The network: width of embeddings, hidden units; step of training, tokens in a step.
 EMBED, HIDDEN, RATE, STEP = 16, 16, 0.1, 4096
-#: Each round predicts every so-manieth token of every document, another one in each round.
-ROUNDS, EVERY = 1, 8
+#: Each round predicts every so-manieth token of every document: all of them, unless a caller asks for fewer.
+ROUNDS, EVERY = 1, 1
 #: Characters with an own symbol in the spelling of other words, and the weight of the shorter context.
 SYMBOLS, BACK = 62, 4.0
 _WORDS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_").findall
@@ -212,7 +212,7 @@ class Network(NamedTuple):
 
 def _rows_added(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct rows, how often each, sums of their values)"""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16) if rows.max() < 1 << 16 else rows, kind="stable")  # 16 bits are sorted by digits
     found = rows[order]
     starts = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
     return found[starts], np.diff(np.concatenate((starts, [len(found)]))), np.add.reduceat(values[order], starts)
@@ -356,7 +356,7 @@ _add_up.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.
 def train_round(documents: DataFrame, model: Model, number: int, *, every: int = EVERY, rate: float = RATE) -> Network:
     """The network after a round: each task learns from its documents, and what they learnt is averaged.
 
-    Every so-manieth token of every document is predicted. A row's new weights are the mean of the tasks', each
+    Every so-manieth token of every document is predicted, by default all. A row's new weights are the mean of the tasks', each
     counting as often as its tokens moved the row; so what one task alone has seen isn't thinned out. Each task
     tells the rows it moved; sums are made in two steps, by groups of about the root of the number of tasks.
     """

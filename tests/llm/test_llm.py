@@ -342,6 +342,13 @@ def test_training_finds_the_pattern():
     assert logs(trainer.net) > -0.5
 
 
+def test_a_round_learns_from_every_token(spark):
+    d = docs(spark, [(1, " ".join(f"{a}{b}" for a in "abcdefgh" for b in "ijklmnop"))])  # 64 words, each of them once
+    start, model = (pseudo_likelihood.fit(d, rounds=r) for r in (0, 1))
+    assert len(model.words) == 64 and len(model.network.out) == 64
+    assert (model.network.out != start.network.out).any(1).all()
+
+
 def test_held_out_texts_are_likelier_than_by_counts(spark):
     """On documents left out: the network against the word counts, from which it starts."""
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
