@@ -123,6 +123,11 @@ def _ranked(lists: DataFrame) -> DataFrame:
     return lists.select("qid", "rank", "id", F.round("score", 6).alias("score"))
 
 
+def _few(found: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
+    """What was found for the queries, sent to the tasks that read the items where it is at most so many rows."""
+    return F.broadcast(found) if queries.count() * depth <= keyword.BROADCAST_TERMS else found
+
+
 def _benchmark(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
@@ -344,7 +349,7 @@ def hybrid_search(spark, sf_dir):
     two = knn.exhaustive(vectors.join(allowed, "id", "left_semi"), asked, 40).withColumn("source", F.lit("vector")).withColumn("raw", F.col("score"))
     lists = fusion.stacked([one, two]).withColumns({c: F.round(c, 9) for c in ("score", "raw")}).persist()
     top = _ten(fusion.rrf(lists))
-    told = fusion.with_evidence(top, lists).join(docs.select("id", "lang", "source"), "id")
+    told = docs.select("id", "lang", "source").join(_few(fusion.with_evidence(top, lists), q, 10), "id")
     flat = F.concat_ws(",", F.transform("evidence", lambda e: F.concat(e["source"], F.lit(":"), e["rank"].cast("string"))))
     return told.select("qid", "rank", "id", F.round("score", 6).alias("score"), "lang", "source", flat.alias("evidence"))
 
@@ -429,7 +434,8 @@ SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9
 def rerank_cross_encoder(spark, sf_dir):
     q, docs = _benchmark(spark, sf_dir), items(spark, sf_dir)
     found = keyword.search(q, keyword.query_index(q, docs), 12, digits=9).withColumn("score", F.round("score", 6)).withColumnRenamed("rank", "ord")
-    out = reranking.CrossEncoder(_overlap, top=10, weight=0.7).rerank(found.join(docs.select("id", "text"), "id").select("qid", "ord", "id", "score", "text"), q)
+    candidates = docs.select("id", "text").join(_few(found, q, 12), "id").select("qid", "ord", "id", "score", "text").persist()
+    out = reranking.CrossEncoder(_overlap, top=10, weight=0.7).rerank(candidates, q)
     return _told(reranking.by_score(out.withColumn("score", F.round("score", 9))))
 
 
@@ -498,7 +504,7 @@ def _runset(spark, sf_dir) -> DataFrame:
 @query(_fused_sql("1.0 / (60 + rank)").replace("id, round(score, 6) AS score FROM g", "'k' || lpad(id::VARCHAR, 6, '0') AS key FROM g"))
 def run_fuse(spark, sf_dir):
     fuser = lambda lists: knn.ranked(fusion.rrf(lists).withColumn("score", F.round("score", 9)).drop("rank"), 10**9)
-    return evaluation.replay(_runset(spark, sf_dir), fuser)
+    return evaluation.replay(_runset(spark, sf_dir).persist(), fuser)
 
 
 @query(f"WITH {_LISTS} SELECT qid, rank, 'k' || lpad(id::VARCHAR, 6, '0') AS key FROM l WHERE source = 'vector'")
