@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, normalised
+from .best import Best
 
 #: Queries that go to the workers at once, as one matrix.
 QUERY_BLOCK = 2048
-#: Bytes of query vectors that are broadcast to inverted lists at most.
-BROADCAST_BYTES = 32 << 20
+#: Vectors of a task that are scored first, pairs that are looked at at once, and how far a matrix product may be from its sum from the left.
+FIRST_ROWS, PAIRS, SLACK = 256, 1 << 18, 1e-9
 #: Vectors that an approximate index is fitted on at most.
 FIT_SAMPLE = 20_000
 
@@ -100,6 +101,50 @@ def _against(qids: list, matrix: np.ndarray, k: int):
     return run
 
 
+def _among(vectors: DataFrame, queries: DataFrame, k: int, index) -> DataFrame:
+    """The best k of each query among the vectors that the index lets it meet: as exhaustive(), each task keeps k for each query."""
+    kind = dict(queries.dtypes)["qid"]
+    schema, out = f"qid {kind}, id bigint, score double", None
+    for qids, matrix in _blocks(queries):
+        found = vectors.select(F.col("id").cast("bigint").alias("id"), "vec").where("vec is not null").mapInArrow(_meeting(qids, matrix, k, index), schema)
+        out = found if out is None else out.unionByName(found)
+    return ranked(queries.sparkSession.createDataFrame([], schema) if out is None else out, k)
+
+
+def _meeting(qids: list, matrix: np.ndarray, k: int, index):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, asked, width = Best(len(qids), k), index.asked(matrix), FIRST_ROWS
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                b = batch.slice(at, width)
+                at, width = at + width, 4096
+                rows = unit_rows(np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1))
+                if rows.shape[1] != matrix.shape[1]:
+                    raise ValueError(f"vectors of width {rows.shape[1]}, queries of {matrix.shape[1]}")
+                ids, held = b.column(0).to_numpy(), index.held(rows)
+                query, row = np.nonzero(matrix @ rows.T >= (best.cut - SLACK)[:, None])
+                for n in range(0, len(query), PAIRS):
+                    q, r = query[n : n + PAIRS], row[n : n + PAIRS]
+                    met = index.met(asked, held, q, r)
+                    q, r = q[met], r[met]
+                    scores = _dots(matrix, rows, q, r)
+                    own = scores >= best.cut[q]
+                    best.add(q[own], ids[r[own]], scores[own])
+        if len(best.query):
+            yield pa.RecordBatch.from_arrays([pa.array([qids[q] for q in best.query.tolist()]), pa.array(best.ids), pa.array(best.scores)], ["qid", "id", "score"])
+
+    return run
+
+
+def _dots(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The products of rows a[i] and b[j], summed from the left: equal rows give equal scores, whatever block they are in."""
+    out = np.zeros(len(i))
+    for n in range(a.shape[1]):
+        out += a[i, n] * b[j, n]
+    return out
+
+
 def exhaustive_one(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     """(rank, id, score) for one query as a plan of expressions: a projection and a top-k."""
     unit = F.array(*[F.lit(float(x)) for x in unit_rows([query])[0]])
@@ -116,7 +161,7 @@ class InvertedLists:
     """Approximate: vectors are dealt to the nearest of some centres; a query reads the lists of its nearest probes, exactly.
 
     The centres are fitted by a few rounds of spherical k-means on at most FIT_SAMPLE vectors; every vector is
-    listed. probes trades time for recall; all lists give the exact answer.
+    listed, by the task that reads it. probes trades time for recall; all lists give the exact answer.
     """
 
     def __init__(self, lists: int | None = None, probes: int | None = None, rounds: int = 8, seed: int = 11):
@@ -136,37 +181,33 @@ class InvertedLists:
             centres = np.where(np.bincount(near, minlength=n)[:, None] > 0, unit_rows(sums), centres)
         return centres
 
-    def listed(self, vectors: DataFrame, centres: np.ndarray) -> DataFrame:
-        """(list, id, vec)"""
-        return _nearest(vectors, centres, 1, "id")
-
     def __call__(self, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         centres = self.fit(vectors)
         if not len(centres) or k <= 0:
             return exhaustive(vectors, queries, k)
-        probes = min(self.probes or -(-len(centres) * 3 // 4), len(centres))
-        asked = _nearest(queries, centres, probes, "qid").withColumnRenamed("vec", "q")
-        few = queries.count() * probes * 8 * centres.shape[1] <= BROADCAST_BYTES
-        met = self.listed(vectors, centres).join(F.broadcast(asked) if few else asked, "list")
-        return ranked(met.select("qid", "id", dot(normalised("vec"), normalised("q")).alias("score")), k)
+        return _among(vectors, queries, k, _Probed(centres, min(self.probes or -(-len(centres) * 3 // 4), len(centres))))
 
 
-def _nearest(rows: DataFrame, centres: np.ndarray, n: int, id_col: str) -> DataFrame:
-    kind = dict(rows.dtypes)[id_col]
+class _Probed:
+    """Whether a vector is in one of a query's lists."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                m = unit_rows(b.column(1).to_pylist())
-                near = np.argsort(-(m @ centres.T), 1, kind="stable")[:, :n]
-                at = np.repeat(np.arange(len(m)), n)
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), b.column(0).take(pa.array(at)), pa.array(m[at].tolist(), pa.list_(pa.float64()))], ["list", id_col, "vec"])
+    def __init__(self, centres: np.ndarray, probes: int):
+        self.centres, self.probes = centres, probes
+
+    def asked(self, m: np.ndarray) -> np.ndarray:
+        out, near = np.zeros((len(m), len(self.centres)), bool), np.argsort(-(m @ self.centres.T), 1, kind="stable")[:, : self.probes]
+        out[np.arange(len(m))[:, None], near] = True
+        return out
+
+    def held(self, m: np.ndarray) -> np.ndarray:
+        return (m @ self.centres.T).argmax(1)
 
-    return rows.select(id_col, "vec").where("vec is not null").mapInArrow(run, f"list int, {id_col} {kind}, vec array<double>")
+    def met(self, asked: np.ndarray, held: np.ndarray, query: np.ndarray, row: np.ndarray) -> np.ndarray:
+        return asked[query, held[row]]
 
 
 class Hyperplanes:
-    """Approximate: signs against random hyperplanes make a code for each of some tables; a query reads codes near its own, exactly.
+    """Approximate: signs against random hyperplanes make a code for each of some tables; a query meets vectors with a code near its own, exactly.
 
     Nearness counts the planes in which codes differ, at most flips. More tables or flips trade time for recall.
     """
@@ -180,26 +221,14 @@ class Hyperplanes:
         bits = ((m @ normals) > 0).reshape(len(m), self.tables, self.planes)
         return (bits << np.arange(self.planes)).sum(2) + (np.arange(self.tables) << self.planes)
 
-    def _coded(self, rows: DataFrame, id_col: str, spread: bool) -> DataFrame:
-        masks = [m for m in range(1 << self.planes) if m.bit_count() <= (self.flips if spread else 0)]
-        kind = dict(rows.dtypes)[id_col]
+    asked = held = _codes
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    m = unit_rows(b.column(1).to_pylist())
-                    codes = (self._codes(m)[:, :, None] ^ np.array(masks)).reshape(len(m), -1)
-                    at = np.repeat(np.arange(len(m)), codes.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(codes.ravel().astype(np.int32)), b.column(0).take(pa.array(at))], ["code", id_col])
-
-        return rows.select(id_col, "vec").where("vec is not null").mapInArrow(run, f"code int, {id_col} {kind}")
+    def met(self, asked: np.ndarray, held: np.ndarray, query: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Whether a query's and a vector's codes are near in one of the tables."""
+        return (np.bitwise_count(asked[query] ^ held[row]) <= self.flips).any(1)
 
     def __call__(self, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-        if k <= 0:
-            return exhaustive(vectors, queries, k)
-        pairs = self._coded(vectors, "id", False).join(self._coded(queries, "qid", True), "code").select("qid", "id").distinct()
-        met = pairs.join(vectors.select("id", "vec"), "id").join(queries.select("qid", F.col("vec").alias("q")), "qid")
-        return ranked(met.select("qid", "id", dot(normalised("vec"), normalised("q")).alias("score")), k)
+        return _among(vectors, queries, k, self) if k > 0 else exhaustive(vectors, queries, k)
 
 
 class IndexCache:
