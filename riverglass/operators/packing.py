@@ -18,8 +18,11 @@ def distinct_by(candidates: DataFrame, field: str) -> DataFrame:
     return renumbered(candidates.withColumn("__first", first).where(F.col("__first") | F.col(field).isNull()).drop("__first"))
 
 
-def within(candidates: DataFrame, max_chars: int, text: str = "text") -> DataFrame:
-    """The longest beginning whose texts have at most max_chars characters; the first row always stays."""
+def within(candidates: DataFrame, max_chars: int, text: str = "text", chars: str | None = None) -> DataFrame:
+    """The longest beginning whose texts have at most max_chars characters; the first row always stays.
+
+    chars: a column that holds the texts' lengths already, for candidates too many to move with their texts.
+    """
     whole("max_chars", max_chars, 1)
-    so_far = F.sum(F.char_length(F.col(text))).over(Window.partitionBy("qid").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    so_far = F.sum(F.col(chars) if chars else F.char_length(F.col(text))).over(Window.partitionBy("qid").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return candidates.withColumn("__n", so_far).where((F.col("ord") == 1) | (F.col("__n") <= max_chars)).drop("__n")

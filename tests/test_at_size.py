@@ -117,3 +117,17 @@ def test_equal_vectors_go_by_id(spark, backend):
     v = spark.createDataFrame(rows, "id bigint, vec array<float>").repartition(3)
     q = spark.createDataFrame([(0, one)], "qid bigint, vec array<float>")
     assert [r.id for r in backend(v, q, 12).orderBy("rank").collect()] == [i for i in range(900) if i % 3][:12]
+
+
+def test_packing_by_length_moves_no_texts(spark, tmp_path):
+    from riverglass.plans import registry
+
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choices("abcdefghij \n", k=4000)), ["en", "fr"][i % 9 == 0], f"s{i % 7}") for i in range(600)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name, kept in (("pack_budget", 10), ("pack_both", 6)):
+        store = spark.sparkContext._jsc.sc().statusStore()
+        before = store.executorSummary("driver").totalShuffleWrite()
+        assert registry.QUERIES[name](spark, str(tmp_path)).count() == kept
+        time.sleep(0.5)
+        assert store.executorSummary("driver").totalShuffleWrite() - before < 200_000  # the texts are 2.4 million characters
