@@ -3,7 +3,7 @@
 root/prefix/declaration.json   fields, layout and tokenizer, fixed at creation
 root/prefix/gen-N/items        id, text, keywords, keyword_override, declared fields, extra (JSON)
 root/prefix/gen-N/vectors      id, vec (unit length, half precision)
-root/prefix/gen-N/postings, lengths, meta.json
+root/prefix/gen-N/postings, lengths, meta.json   (an item without tokens has one posting without a term)
 root/prefix/commit-N.json      created once: generation N counts from then on
 
 A reader keeps the generation it opened; a writer that lost the race for commit-N starts anew.
@@ -175,9 +175,8 @@ class Store:
         draft.vectors.select("id", packed("vec").alias("vec")).write.parquet(f"{at}/vectors")
         if not meta.keywords_stale:
             rows = self.spark.read.schema(self.schema).parquet(f"{at}/items")
-            index = keyword.build_index(self._keyword_rows(rows), self.tokenizer)
-            index.postings.sortWithinPartitions("term").write.parquet(f"{at}/postings")
-            index.lengths.write.parquet(f"{at}/lengths")
+            keyword.posted(self._keyword_rows(rows), self.tokenizer).write.parquet(f"{at}/postings")
+            self.spark.read.schema("id bigint, dl int").parquet(f"{at}/postings").distinct().write.parquet(f"{at}/lengths")
         self.storage.create(f"{at}/meta.json", meta.to_json())
         if not self.storage.create(f"{self.path}/commit-{n}.json", json.dumps({"folder": folder})):
             self.storage.delete(at)
@@ -201,14 +200,21 @@ class Store:
 
     def _rows(self, items: DataFrame | Iterable[Item]) -> DataFrame:
         """Items as rows of the schema, one for each id: of several in a batch the last counts."""
+        rows = self._typed(items)
+        return self._last(rows) if isinstance(items, DataFrame) else rows
+
+    @staticmethod
+    def _last(rows: DataFrame) -> DataFrame:
+        names = rows.columns
+        last = F.max_by(F.struct(*(F.col(f"`{c}`") for c in names)), "__at").alias("__row")
+        return rows.withColumn("__at", F.monotonically_increasing_id()).groupBy(F.col("id").alias("__id")).agg(last).select("__row.*").select(*(f"`{c}`" for c in names))
+
+    def _typed(self, items: DataFrame | Iterable[Item]) -> DataFrame:
         if isinstance(items, DataFrame):
             missing = {"id", "text"} - set(items.columns)
             if missing:
                 raise ValueError(f"items lack {sorted(missing)}")
-            rows = items.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in items.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema))
-            names = rows.columns
-            last = F.max_by(F.struct(*(F.col(f"`{c}`") for c in names)), "__at").alias("__row")
-            return rows.withColumn("__at", F.monotonically_increasing_id()).groupBy(F.col("id").alias("__id")).agg(last).select("__row.*").select(*(f"`{c}`" for c in names))
+            return items.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in items.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema))
         made = {item.id: self._row(item) for item in items}
         return self.spark.createDataFrame(list(made.values()), self.schema)
 
@@ -265,7 +271,9 @@ class Store:
         """Inserts or replaces by id. Without vectors the items' old ones go. An empty batch changes nothing."""
         draft = self._draft()
         self._check_space()
-        rows = draft.hold(self._rows(items))
+        rows = draft.hold(self._typed(items))
+        if rows.groupBy("id").count().where("count > 1").limit(1).collect():  # else no row has to move
+            rows = draft.hold(self._last(rows))
         if rows.where("id is null or text is null").limit(1).collect():
             raise ValueError("items need an id and a text")
         if rows.isEmpty():
@@ -369,7 +377,7 @@ class Store:
         if self.draft or self.folder is None:
             return keyword.build_index(self._keyword_rows(self.items), self.tokenizer)
         postings = self._table("postings", "term string, id bigint, dl int, tf bigint, positions array<int>")
-        return keyword.Index(postings, self._table("lengths", "id bigint, dl int"), self.tokenizer)
+        return keyword.Index(postings.where("term is not null"), self._table("lengths", "id bigint, dl int"), self.tokenizer)
 
     def search_keyword(self, queries: DataFrame, k: int, flt: Filter | None = None) -> DataFrame:
         """Ranked lists of (qid, query) by BM25."""

@@ -131,3 +131,24 @@ def test_packing_by_length_moves_no_texts(spark, tmp_path):
         assert registry.QUERIES[name](spark, str(tmp_path)).count() == kept
         time.sleep(0.5)
         assert store.executorSummary("driver").totalShuffleWrite() - before < 200_000  # the texts are 2.4 million characters
+
+
+def test_items_of_a_store_arent_shuffled_where_ids_are_unique(spark, tmp_path):
+    from riverglass.sources.store import Store
+
+    items = spark.range(4000).select("id", F.concat(F.lit("the of and "), F.col("id").cast("string")).alias("text")).repartition(3).persist()
+    items.count()
+    store = Store(spark, str(tmp_path), "stored")
+
+    def written() -> None:
+        with store.transaction():
+            store.upsert(items)
+
+    # What is counted, joined and made distinct are ids and lengths; the index of 16,000 tokens isn't.
+    assert shuffled(spark, written) < 20_000
+    assert store.items.count() == 4000 and store.index().lengths.count() == 4000
+    with store.transaction():
+        store.upsert(spark.createDataFrame([(1, "first"), (1, "last"), (-1, "")], "id bigint, text string").repartition(1))
+    assert {r.id: r.text for r in store.items.where("id in (1, -1)").collect()} == {1: "last", -1: ""}
+    assert store.index().lengths.where("id = -1").first().dl == 0
+    assert [r.id for r in store.search_keyword(spark.createDataFrame([(0, "last 17")], "qid bigint, query string"), 5).orderBy("rank").collect()] == [1, 17]
